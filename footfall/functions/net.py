@@ -6,45 +6,32 @@ from pyspark.sql import Column, functions as F
 
 from footfall.functions.text import trimmed
 
-# URL schemes whose URLs always carry a host, and characters no host may contain.
-HOST_SCHEMES = "https?|wss?|ftp"
-NOT_IN_HOST = r"[\x00-\x20#/<>?@\[\\\]^|%\x7F]"
+# The schemes whose URLs always carry a host, the characters no host may contain, and
+# the ports there are.
+HOST_SCHEMES = r"(?i:https?|wss?|ftp):"
+ANY_SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*:"
+HOST = r"\[[0-9A-Fa-f:.]+\]|[^\x00-\x20#/<>?@\[\\\]^|%\x7F:]+"
+PORT = r"0*(?:[0-9]{0,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])"
 
-# host[:port], the host possibly a bracketed IPv6 address.
-_HOST_PORT = r"^(\[[0-9A-Fa-f:.]+\]|[^:]*)(?::([0-9]*))?$"
+_EDGE = r"[\x00-\x20]*"
+_AUTHORITY = rf"(?:[^/\\?#]*@)?({HOST})(?::{PORT})?{_EDGE}(?:[/\\?#].*)?$"
+_WITH_HOST = rf"(?s)^{_EDGE}(?:{HOST_SCHEMES}[/\\]*|{ANY_SCHEME}//){_AUTHORITY}"
+_URL = rf"(?s)^{_EDGE}(?:{HOST_SCHEMES}[/\\]*{_AUTHORITY}|(?!{HOST_SCHEMES}){ANY_SCHEME})"
 
 
-def _cleaned(url: Column) -> Column:
-    edges_off = F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
-    return F.regexp_replace(edges_off, r"[\t\r\n]", "")
-
-
-def _host_port(url: Column) -> Column:
-    clean = _cleaned(url)
-    with_host = F.regexp_extract(clean, rf"^(?i:{HOST_SCHEMES}):[/\\]*([^/\\?#]*)", 1)
-    other = F.regexp_extract(clean, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
-    authority = F.when(clean.rlike(rf"^(?i:{HOST_SCHEMES}):"), with_host).otherwise(other)
-    return F.regexp_replace(authority, "^.*@", "")
+def _one_line(url: Column) -> Column:
+    """Tabs and line ends anywhere in a URL do not count."""
+    return F.translate(url, "\t\r\n", "")
 
 
 def url_host(url: Column) -> Column:
     """Lower-case host name, NULL for text that is not a URL with a host."""
-    host_port = _host_port(url)
-    host = F.lower(F.regexp_extract(host_port, _HOST_PORT, 1))
-    port = F.regexp_extract(host_port, _HOST_PORT, 2)
-    fits = (
-        (host != "")
-        & (host.startswith("[") | ~host.rlike(NOT_IN_HOST))
-        & ((port == "") | (port.try_cast("long") <= 65535))
-    )
-    return F.when(fits, host)
+    return F.nullif(F.lower(F.regexp_extract(_one_line(url), _WITH_HOST, 1)), F.lit(""))
 
 
 def is_url(url: Column) -> Column:
     """Any scheme will do; schemes that need a host must have one."""
-    clean = _cleaned(url)
-    needs_host = clean.rlike(rf"^(?i:{HOST_SCHEMES}):")
-    return clean.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") & (~needs_host | url_host(url).isNotNull())
+    return _one_line(url).rlike(_URL)
 
 
 def whitelist_host(entry: Column) -> Column:
@@ -54,21 +41,18 @@ def whitelist_host(entry: Column) -> Column:
     return F.nullif(F.when(text.contains("://"), url_host(text)).otherwise(bare), F.lit(""))
 
 
-def domain_allowed(host: Column, whitelist: Column) -> Column:
-    """An empty list allows all; otherwise the host is an entry or lies under one."""
-    return F.when(F.size(whitelist) == 0, F.lit(True)).otherwise(
-        F.coalesce(
-            F.exists(
-                whitelist,
-                lambda entry: F.coalesce(
-                    (host == whitelist_host(entry))
-                    | host.endswith(F.concat(F.lit("."), whitelist_host(entry))),
-                    F.lit(False),
-                ),
-            ),
-            F.lit(False),
-        )
+def whitelist_hosts(whitelist: Column) -> Column:
+    """The hosts of a whitelist, NULL for an empty one, which allows all."""
+    hosts = F.array_compact(F.transform(whitelist, whitelist_host))
+    return F.when(F.size(whitelist) > 0, hosts)
+
+
+def domain_allowed(host: Column, hosts: Column) -> Column:
+    """Whether ``host`` is one of ``hosts`` or lies under one; NULL ``hosts`` allow all."""
+    listed = F.exists(
+        hosts, lambda entry: (host == entry) | host.endswith(F.concat(F.lit("."), entry))
     )
+    return hosts.isNull() | F.coalesce(listed, F.lit(False))
 
 
 def truncated_ip(ip: Column) -> Column:

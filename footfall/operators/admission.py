@@ -31,8 +31,11 @@ def validate(raw: DataFrame) -> DataFrame:
 
 
 def by_token(tenants: DataFrame) -> DataFrame:
+    """Tenants by lower-case token, their whitelists already reduced to hosts."""
     return tenants.select(
-        F.lower("token").alias("_token"), F.col("id").alias("tenant_id"), "domain_whitelist"
+        F.lower("token").alias("_token"),
+        F.col("id").alias("tenant_id"),
+        net.whitelist_hosts(F.col("domain_whitelist")).alias("_hosts"),
     )
 
 
@@ -41,14 +44,14 @@ def resolve(checked: DataFrame, tenants: DataFrame) -> DataFrame:
     sound = F.col("readable") & (F.size("violations") == 0)
     keyed = checked.withColumn("_token", F.when(sound, F.lower("token")))
     joined = lookup(keyed, by_token(tenants), "_token").drop("_token")
-    allowed = net.domain_allowed(net.url_host(F.col("url")), F.col("domain_whitelist"))
-    return joined.withColumn(
+    allowed = net.domain_allowed(F.col("_host"), F.col("_hosts"))
+    return joined.withColumn("_host", net.url_host(F.col("url"))).withColumn(
         "status",
         F.when(~F.col("readable"), UNREADABLE)
         .when(F.size("violations") > 0, MALFORMED)
         .when(F.col("tenant_id").isNull(), BAD_TOKEN)
         .when(~allowed, BAD_DOMAIN),
-    ).drop("domain_whitelist")
+    ).drop("_host", "_hosts")
 
 
 def apply_limit(

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 
-def null_audit(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """NULLs in each column that must have none, in one pass."""
-    required = [f.name for f in schema.fields if not f.nullable]
-    counts = df.agg(
-        *[F.count_if(F.col(name).isNull()).alias(name) for name in required]
-    )
-    return counts.unpivot([], required, "column_name", "null_count")
+def required(schema: T.StructType) -> list[str]:
+    """Columns that must have no NULL."""
+    return [f.name for f in schema.fields if not f.nullable]
+
+
+def null_audit(df: DataFrame, columns: list[str]) -> DataFrame:
+    """NULLs in each of ``columns``, in one pass."""
+    counts = df.agg(*[F.count_if(F.col(name).isNull()).alias(name) for name in columns])
+    return counts.unpivot([], columns, "column_name", "null_count")
 
 
 def unique_audit(df: DataFrame, key: list[str]) -> DataFrame:

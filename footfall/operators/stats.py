@@ -69,13 +69,14 @@ def overview(
         .groupBy("kind", "value")
         .agg(F.count("*").alias("count"))
     )
+    # Neither branch filters on kind, so that both read the same shuffle.
     sessions = F.col("kind") == "session"
-    totals = counted.where(sessions).agg(
-        F.coalesce(F.sum("count"), F.lit(0)).alias("total_events"),
-        F.count("value").alias("unique_sessions"),
+    totals = counted.agg(
+        F.coalesce(F.sum(F.when(sessions, F.col("count"))), F.lit(0)).alias("total_events"),
+        F.count(F.when(sessions, F.col("value"))).alias("unique_sessions"),
     )
     rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("count"), "value"))
-    ranked = counted.where(~sessions).withColumn("rank", rank).where(F.col("rank") <= TOP)
+    ranked = counted.withColumn("rank", rank).where(F.col("rank") <= TOP)
 
     def listed(kind: str) -> Column:
         row = F.struct("rank", "value", "count")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +17,7 @@ SETTINGS = {
 }
 
 _local_work_dir: str | None = None
+_shipped: set[str] = set()
 
 
 def build_session(master: str | None = None, app: str = "footfall", **conf: str) -> SparkSession:
@@ -23,15 +26,28 @@ def build_session(master: str | None = None, app: str = "footfall", **conf: str)
         builder = builder.master(master)
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return configure(builder.getOrCreate())
 
 
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the runtime settings that results depend on; buckets are always cut in UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    _ship_package(spark)
     return spark
 
 
+def _ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = f"{tempfile.mkdtemp(prefix='footfall-package-')}/footfall"
+    shutil.make_archive(archive, "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(f"{archive}.zip")
+    _shipped.add(application)
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only for a local master."""
     global _local_work_dir

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from footfall.functions import useragent
 
 AS_OF = datetime(2024, 1, 31)
 HOT_TENANT = "00000000-0000-4000-8000-000000000000"
@@ -49,8 +51,8 @@ def _by_rest(number: str, values: list[str | None]) -> str:
     return f"CASE {number} % {len(values)} {cases} END"
 
 
-TENANTS_COUNT = "(SELECT count(*) FROM {supplier})"
-PAGES_COUNT = "(SELECT count(*) FROM {pages})"
+TENANTS_COUNT = "{tenants_count}"
+PAGES_COUNT = "{pages_count}"
 TENANT_NO = f"CASE WHEN e.user_id % 3 = 0 THEN 0 ELSE 1 + e.user_id % ({TENANTS_COUNT} - 1) END"
 AGENT = _by_rest("e.event_id", AGENTS)
 SESSION = (
@@ -172,6 +174,34 @@ def domain_requests(dialect: dict[str, str]) -> str:
     FROM {{customer}} c"""
 
 
+def queued_jobs(dialect: dict[str, str]) -> str:
+    """Jobs as the enrichment reads them, some of them broken in a known way."""
+    return f"""
+    SELECT e.event_id, e.ts AS arrived_at,
+      CASE WHEN e.event_id % 53 = 0 THEN 'nobody' ELSE {_uuid('00000000', TENANT_NO)} END AS tenant_id,
+      CASE WHEN e.event_id % 59 = 0 THEN repeat('x', 129) WHEN e.event_id % 67 = 0 THEN ' two words '
+        ELSE {EVENT_NAME} END AS event_name,
+      CASE WHEN e.event_id % 43 = 0 THEN '[1]' ELSE e.props END AS properties,
+      {SESSION} AS session_id,
+      CASE WHEN e.event_id % 79 = 0 THEN 'http:///' ELSE p.url END AS url,
+      CASE WHEN e.event_id % 47 = 0 THEN '/relative' ELSE r.url END AS referrer,
+      concat({dialect['iso'].format('e.ts')}, CASE WHEN e.event_id % 73 = 0 THEN '' ELSE '+02:00' END) AS occurred_at,
+      {AGENT} AS user_agent, {REMOTE_IP} AS ip_address
+    {WITH_PAGES}"""
+
+
+# Clicks on elements whose text is a whole document.
+CLICKED = f"""
+SELECT e.event_id, CASE WHEN e.event_id % 2 = 0 THEN 'A' ELSE 'BUTTON' END AS tag,
+  CASE WHEN e.event_id % 3 = 0 THEN '' ELSE concat('element-', e.user_id) END AS element_id,
+  concat(' ', d.text, ' ') AS text,
+  CASE WHEN e.event_id % 2 = 0 THEN concat('https://example.com/', e.event_type) END AS href
+FROM {{events}} e JOIN {{documents}} d ON d.doc_id = e.event_id % {{documents_count}}
+WHERE e.event_type = 'click'"""
+
+# Tenants to remove.
+GONE = f"SELECT {_uuid('00000000', 's.s_suppkey')} AS tenant_id FROM {{supplier}} s WHERE s.s_acctbal < 2000"
+
 FUNNEL_STEPS = [["pageview", "click", "purchase"], ["pageview", "signup"], ["click", "click"]]
 
 
@@ -195,6 +225,11 @@ FROM {{customer}} c"""
 TABLES = ("events", "pages", "supplier", "customer", "orders", "documents")
 
 
+COUNTS = {"tenants_count": "supplier", "pages_count": "pages", "documents_count": "documents"}
+
+_counted: dict[tuple[str, str], int] = {}
+
+
 class Fixtures:
     """The fixture tables of one folder as DataFrames."""
 
@@ -205,9 +240,17 @@ class Fixtures:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def _count(self, name: str) -> int:
+        """Row count, from the file's footer."""
+        key = (self.folder, name)
+        if key not in _counted:
+            _counted[key] = self.table(name).count()
+        return _counted[key]
+
     def sql(self, text: str) -> DataFrame:
-        used = {name: self.table(name) for name in TABLES if f"{{{name}}}" in text}
-        return self.spark.sql(text, **used)
+        tables = {name: self.table(name) for name in TABLES if f"{{{name}}}" in text}
+        counts = {name: self._count(table) for name, table in COUNTS.items() if f"{{{name}}}" in text}
+        return self.spark.sql(text, **tables, **counts)
 
     def plain_events(self) -> DataFrame:
         return self.sql(PLAIN_EVENTS)
@@ -236,10 +279,26 @@ class Fixtures:
     def funnel_requests(self) -> DataFrame:
         return self.sql(funnel_requests(SPARK))
 
+    def queued_jobs(self) -> DataFrame:
+        return self.sql(queued_jobs(SPARK))
+
+    def stored_events(self) -> DataFrame:
+        """Web events in the shape of the event table."""
+        agent = F.col("user_agent")
+        return self.web_events().select(
+            "event_id", "time", "tenant_id", "event_name", "properties", "session_id", "url", "referrer",
+            F.lit(None).cast("string").alias("country"),
+            useragent.device(agent).alias("device"),
+            useragent.operating_system(agent).alias("os"),
+            useragent.browser(agent).alias("browser"),
+            F.lit(None).cast("string").alias("ip_hash"),
+        )
+
     def subscriptions(self) -> DataFrame:
         return self.sql(SUBSCRIPTIONS)
 
 
 def duckdb_text(text: str) -> str:
     """The same SQL over the plain table names."""
-    return text.format(**{name: name for name in TABLES})
+    counts = {name: f"(SELECT count(*) FROM {table})" for name, table in COUNTS.items()}
+    return text.format(**{name: name for name in TABLES}, **counts)
