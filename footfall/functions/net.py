@@ -14,14 +14,15 @@ HOST = r"\[[0-9A-Fa-f:.]+\]|[^\x00-\x20#/<>?@\[\\\]^|%\x7F:]+"
 PORT = r"0*(?:[0-9]{0,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])"
 
 _EDGE = r"[\x00-\x20]*"
-_AUTHORITY = rf"(?:[^/\\?#]*@)?({HOST})(?::{PORT})?{_EDGE}(?:[/\\?#].*)?$"
-_WITH_HOST = rf"(?s)^{_EDGE}(?:{HOST_SCHEMES}[/\\]*|{ANY_SCHEME}//){_AUTHORITY}"
-_URL = rf"(?s)^{_EDGE}(?:{HOST_SCHEMES}[/\\]*{_AUTHORITY}|(?!{HOST_SCHEMES}){ANY_SCHEME})"
+_AUTHORITY = rf"(?:[^/\\?#@]*@)*({HOST})(?::{PORT})?(?:[/\\?#]|{_EDGE}$)"
+_WITH_HOST = rf"^{_EDGE}(?:{HOST_SCHEMES}[/\\]*|{ANY_SCHEME}//){_AUTHORITY}"
+_URL = rf"^{_EDGE}(?:{HOST_SCHEMES}[/\\]*{_AUTHORITY}|(?!{HOST_SCHEMES}){ANY_SCHEME})"
 
 
 def _one_line(url: Column) -> Column:
     """Tabs and line ends anywhere in a URL do not count."""
-    return F.translate(url, "\t\r\n", "")
+    breaks = r"[\t\r\n]"
+    return F.when(url.rlike(breaks), F.regexp_replace(url, breaks, "")).otherwise(url)
 
 
 def url_host(url: Column) -> Column:

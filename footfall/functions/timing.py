@@ -40,8 +40,7 @@ def bucket(unit: str, time: Column) -> Column:
 
 def from_iso(text: Column) -> Column:
     """UTC time of an ISO text with offset, to the millisecond; NULL if it is not one."""
-    with_colon = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    moment = F.try_to_timestamp(F.when(text.rlike(ISO_WITH_OFFSET), with_colon))
+    moment = F.try_to_timestamp(F.when(text.rlike(ISO_WITH_OFFSET), text))
     return F.date_trunc("MILLISECOND", moment).cast("timestamp_ntz")
 
 

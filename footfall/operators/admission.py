@@ -41,14 +41,14 @@ def by_token(tenants: DataFrame) -> DataFrame:
 
 def resolve(checked: DataFrame, tenants: DataFrame) -> DataFrame:
     """Adds the tenant and the ``status`` that is known before the rate limit (NULL if none)."""
-    sound = F.col("readable") & (F.size("violations") == 0)
+    sound = F.col("violations") == ""
     keyed = checked.withColumn("_token", F.when(sound, F.lower("token")))
     joined = lookup(keyed, by_token(tenants), "_token").drop("_token")
     allowed = net.domain_allowed(F.col("_host"), F.col("_hosts"))
     return joined.withColumn("_host", net.url_host(F.col("url"))).withColumn(
         "status",
         F.when(~F.col("readable"), UNREADABLE)
-        .when(F.size("violations") > 0, MALFORMED)
+        .when(F.col("violations") != "", MALFORMED)
         .when(F.col("tenant_id").isNull(), BAD_TOKEN)
         .when(~allowed, BAD_DOMAIN),
     ).drop("_host", "_hosts")

@@ -13,7 +13,7 @@ from footfall.operators import validation
 def split_jobs(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sound jobs, and the ones that break a rule (with ``violations``)."""
     checked = jobs.withColumn("violations", validation.job_violations())
-    sound = F.size("violations") == 0
+    sound = F.col("violations") == ""
     return checked.where(sound).drop("violations"), checked.where(~sound)
 
 

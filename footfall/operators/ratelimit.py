@@ -145,7 +145,7 @@ def _walk(limit: Limit):
                     admitted.append((row.ms, quota + row.carried))
                     used += quota + row.carried
                 kept.append(quota)
-            out = frame[["token", "ms"]].assign(quota=kept)
+            out = frame[["token", "ms", "fresh", "carried"]].assign(admitted=kept)
             yield out[~frame["lead"].to_numpy()]
 
     return walk
@@ -186,15 +186,12 @@ def admitted_counts(events: DataFrame, limit: Limit, carry: DataFrame | None = N
         .select("token", "chain", "ms", "fresh", "carried", "lead")
         .repartition("token", "chain")
         .sortWithinPartitions("token", "chain", "ms")
-        .mapInPandas(_walk(limit), "token string, ms long, quota long")
+        .mapInPandas(_walk(limit), "token string, ms long, fresh long, carried long, admitted long")
     )
-    return (
-        rated.select("token", "ms", "fresh", "carried")
-        .join(walked, ["token", "ms"], "left")
-        .select(
-            "token", "ms", "fresh", "carried", F.coalesce("quota", "fresh").alias("admitted")
-        )
+    calm = rated.join(hot, ["token", "block"], "left_anti").select(
+        "token", "ms", "fresh", "carried", F.col("fresh").alias("admitted")
     )
+    return calm.unionByName(walked)
 
 
 def rate_limit(

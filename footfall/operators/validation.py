@@ -13,11 +13,14 @@ MAX_BODY_BYTES = 32 * 1024
 MAX_PROPERTIES = 10_240
 MAX_URL = 2048
 MAX_AGENT = 1024
-MAX_EVENT_NAME_WIRE = 100
 MAX_EVENT_NAME_JOB = 128
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-EVENT_NAME = r"^[a-zA-Z0-9_\-.]+$"
+EVENT_NAME = r"^[a-zA-Z0-9_\-.]{1,100}$"
+JSON_SPACE = " \t\r\n"
 
+# Column and wire name of the text fields. Those in _TYPED would pass their rule as another JSON type
+# or as null, so their type is read too.
+_TYPED = {"event_name", "referrer", "occurred_at", "user_agent"}
 _TEXT_FIELDS = {
     "token": "token",
     "event_name": "eventName",
@@ -29,11 +32,6 @@ _TEXT_FIELDS = {
 }
 
 
-def _kind(json: Column, path: str) -> Column:
-    """Type name of a field; NULL if the field is absent, VOID for a JSON null."""
-    return F.schema_of_variant(F.try_variant_get(json, path, "variant"))
-
-
 def _optional(kind: Column, rule: Column) -> Column:
     return kind.isNull() | ((kind == "STRING") & rule)
 
@@ -43,45 +41,49 @@ def _url_rule(url: Column) -> Column:
 
 
 def parse_bodies(raw: DataFrame) -> DataFrame:
-    """Payload fields out of the JSON body, with the type found for each.
+    """Payload fields out of the JSON body.
 
     ``readable`` is false for text that is no JSON object or array or that is over the size limit.
+    A field's ``_kind`` is NULL if the field is absent and VOID for a JSON null.
     """
     body = F.col("body")
-    with_json = raw.withColumn(
-        "_json",
-        F.when(
-            (F.octet_length(body) <= MAX_BODY_BYTES) & body.rlike(r"^\s*[\[{]"),
-            F.try_parse_json(body),
-        ),
+    text = F.btrim(body, F.lit(JSON_SPACE))
+    in_size = F.octet_length(body) <= MAX_BODY_BYTES
+    is_object = in_size & text.startswith("{") & text.endswith("}")
+    is_list = in_size & text.startswith("[") & text.endswith("]")
+    schema = ", ".join(
+        ["properties variant"]
+        + [f"{wire} {'variant' if name in _TYPED else 'string'}" for name, wire in _TEXT_FIELDS.items()]
     )
-    json = F.col("_json")
-    return with_json.select(
+    read = raw.withColumn("keys", F.when(is_object, F.json_object_keys(body))).withColumn(
+        "_payload", F.from_json(F.when(F.col("keys").isNotNull(), body), schema)
+    )
+    field = lambda name: F.col(f"_payload.{name}")
+    is_readable = F.col("keys").isNotNull() | (is_list & F.try_parse_json(body).isNotNull())
+    return read.select(
         *raw.columns,
-        json.isNotNull().alias("readable"),
-        F.json_object_keys(F.when(json.isNotNull(), body)).alias("keys"),
-        F.to_json(F.try_variant_get(json, "$.properties", "variant")).alias("properties"),
+        F.coalesce(is_readable, F.lit(False)).alias("readable"),
+        "keys",
+        F.to_json(field("properties")).alias("properties"),
+        *[field(wire).cast("string").alias(name) for name, wire in _TEXT_FIELDS.items()],
         *[
-            F.try_variant_get(json, f"$.{field}", "string").alias(name)
-            for name, field in _TEXT_FIELDS.items()
+            F.schema_of_variant(field(wire)).alias(f"{name}_kind")
+            for name, wire in _TEXT_FIELDS.items()
+            if name in _TYPED
         ],
-        *[_kind(json, f"$.{field}").alias(f"{name}_kind") for name, field in _TEXT_FIELDS.items()],
     )
 
 
 def payload_violations() -> Column:
-    """Names of the rules a parsed payload breaks; empty for a sound one."""
+    """Names of the rules a parsed payload breaks, joined by ``|``; empty for a sound one."""
     name = trimmed(F.col("event_name"))
-    text = {key: F.col(f"{key}_kind") == "STRING" for key in _TEXT_FIELDS}
     rules = {
-        "token": text["token"] & F.col("token").rlike(UUID),
-        "eventName": text["event_name"]
-        & F.length(name).between(1, MAX_EVENT_NAME_WIRE)
-        & name.rlike(EVENT_NAME),
+        "token": F.col("token").rlike(UUID),
+        "eventName": (F.col("event_name_kind") == "STRING") & name.rlike(EVENT_NAME),
         "properties": F.col("properties").isNull()
         | (F.col("properties").startswith("{") & (utf16_length(F.col("properties")) <= MAX_PROPERTIES)),
-        "sessionId": text["session_id"] & F.col("session_id").rlike(UUID),
-        "url": text["url"] & _url_rule(F.col("url")),
+        "sessionId": F.col("session_id").rlike(UUID),
+        "url": _url_rule(F.col("url")),
         "referrer": _optional(F.col("referrer_kind"), _url_rule(F.col("referrer"))),
         "occurredAt": _optional(
             F.col("occurred_at_kind"), timing.from_iso(F.col("occurred_at")).isNotNull()
@@ -96,13 +98,12 @@ def payload_violations() -> Column:
 
 def job_violations() -> Column:
     """Names of the rules a queued job breaks: as for payloads, but any event name up to 128."""
-    text = {key: F.col(key).isNotNull() for key in ("tenant_id", "session_id", "url")}
     rules = {
-        "tenantId": text["tenant_id"] & F.col("tenant_id").rlike(UUID),
+        "tenantId": F.col("tenant_id").rlike(UUID),
         "eventName": utf16_length(trimmed(F.col("event_name"))).between(1, MAX_EVENT_NAME_JOB),
         "properties": F.col("properties").startswith("{") & F.try_parse_json("properties").isNotNull(),
-        "sessionId": text["session_id"] & F.col("session_id").rlike(UUID),
-        "url": text["url"] & _url_rule(F.col("url")),
+        "sessionId": F.col("session_id").rlike(UUID),
+        "url": _url_rule(F.col("url")),
         "referrer": F.col("referrer").isNull() | _url_rule(F.col("referrer")),
         "occurredAt": timing.from_iso(F.col("occurred_at")).isNotNull(),
         "userAgent": F.col("user_agent").isNull()
@@ -112,8 +113,10 @@ def job_violations() -> Column:
 
 
 def _broken(rules: dict[str, Column]) -> Column:
-    named = [F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]
-    return F.array_compact(F.array(*named))
+    # Text rather than an array: dropping NULLs from an array would leave generated code.
+    return F.concat_ws(
+        "|", *[F.when(~F.coalesce(rule, F.lit(False)), name) for name, rule in rules.items()]
+    )
 
 
 def _text_within(text: Column, limit: int) -> Column:

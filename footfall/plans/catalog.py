@@ -63,12 +63,12 @@ def ingest_parse(f: Fixtures) -> DataFrame:
 @query
 def ingest_validation(f: Fixtures) -> DataFrame:
     checked = admission.validate(f.raw_posts())
-    return checked.select("event_id", "readable", _joined("violations").alias("violations"))
+    return checked.select("event_id", "readable", "violations")
 
 
 @query
 def job_validation(f: Fixtures) -> DataFrame:
-    return f.queued_jobs().select("event_id", _joined(validation.job_violations()).alias("violations"))
+    return f.queued_jobs().select("event_id", validation.job_violations().alias("violations"))
 
 
 @query
@@ -156,8 +156,7 @@ def accepted_events(f: Fixtures) -> DataFrame:
 
 @query
 def quarantine(f: Fixtures) -> DataFrame:
-    refused = admission.rejects(_outcomes(f))
-    return refused.withColumn("violations", _joined("violations"))
+    return admission.rejects(_outcomes(f))
 
 
 @query

@@ -151,8 +151,8 @@ def _limiter(source: str) -> str:
     """Greedy admission, one step per event of a token, carrying the admitted times."""
     return f"""
 queue AS (
-  SELECT event_id, token, epoch_ms(arrived_at) AS ms,
-    row_number() OVER (PARTITION BY token ORDER BY epoch_ms(arrived_at), event_id) AS place
+  SELECT event_id, token, epoch_us(arrived_at) // 1000 AS ms,
+    row_number() OVER (PARTITION BY token ORDER BY epoch_us(arrived_at) // 1000, event_id) AS place
   FROM {source}
 ),
 walk AS (
@@ -327,7 +327,7 @@ SELECT event_id, {_device('user_agent')} AS device, {_os('user_agent')} AS os, {
         "arrival_rate": f"""
 SELECT token, ms, count(*) AS arrivals, cast(any_value(n) AS bigint) AS in_window FROM (
   SELECT token, ms, count(*) OVER (PARTITION BY token ORDER BY ms RANGE BETWEEN {WINDOW_MS - 1} PRECEDING AND CURRENT ROW) AS n
-  FROM (SELECT token, epoch_ms(arrived_at) AS ms FROM ({ARRIVALS}))
+  FROM (SELECT token, epoch_us(arrived_at) // 1000 AS ms FROM ({ARRIVALS}))
 ) GROUP BY token, ms""",
         "rate_limit": limited.format(", a.arrived_at"),
         "admission_outcomes": f"""WITH RECURSIVE {ADMITTED}

@@ -2,45 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from footfall.operators.rollups import PAGE_EVENT
 from footfall.sources import store
 
 
-def hourly(events: DataFrame) -> DataFrame:
+def _with_delay(events: DataFrame, delay: str | None) -> DataFrame:
+    """Events whose windows close once they are ``delay`` old; never without a delay.
+
+    Watermarks need a zoned time, so ``time`` becomes one.
+    """
+    timed = events.withColumn("time", F.col("time").cast("timestamp"))
+    return timed.withWatermark("time", delay) if delay else timed
+
+
+def _plain(time: str) -> Column:
+    return F.col(time).cast("timestamp_ntz")
+
+
+def hourly(events: DataFrame, delay: str | None = None) -> DataFrame:
+    """Hourly counts. With a ``delay`` later events are left to ``rollups.reconciled_hours``."""
     return (
-        events.groupBy("tenant_id", F.window("time", "1 hour").alias("span"), "event_name")
+        _with_delay(events, delay)
+        .groupBy("tenant_id", F.window("time", "1 hour").alias("span"), "event_name")
         .agg(F.count("*").alias("count"))
-        .select("tenant_id", F.col("span.start").alias("hour"), "event_name", "count")
+        .select("tenant_id", _plain("span.start").alias("hour"), "event_name", "count")
     )
 
 
-def sessions(events: DataFrame, visitor: str, gap: str = "30 minutes") -> DataFrame:
+def sessions(
+    events: DataFrame, visitor: str, gap: str = "30 minutes", delay: str | None = None
+) -> DataFrame:
     return (
-        events.groupBy("tenant_id", visitor, F.session_window("time", gap).alias("span"))
+        _with_delay(events, delay)
+        .groupBy("tenant_id", visitor, F.session_window("time", gap).alias("span"))
         .agg(
             F.count("*").alias("events"),
             F.count_if(F.col("event_name") == PAGE_EVENT).alias("page_count"),
             F.max("time").alias("ended_at"),
         )
-        .select("tenant_id", visitor, F.col("span.start").alias("started_at"), "ended_at", "events", "page_count")
+        .select(
+            "tenant_id", visitor, _plain("span.start").alias("started_at"),
+            _plain("ended_at").alias("ended_at"), "events", "page_count",
+        )
     )
 
 
-def rolling_activity(events: DataFrame) -> DataFrame:
+def rolling_activity(events: DataFrame, delay: str | None = None) -> DataFrame:
     """Events and, approximately, sessions per half hour, every five minutes."""
     return (
-        events.groupBy("tenant_id", F.window("time", "30 minutes", "5 minutes").alias("span"))
+        _with_delay(events, delay)
+        .groupBy("tenant_id", F.window("time", "30 minutes", "5 minutes").alias("span"))
         .agg(F.count("*").alias("events"), F.approx_count_distinct("session_id").alias("sessions"))
-        .select("tenant_id", F.col("span.end").alias("until"), "events", "sessions")
+        .select("tenant_id", _plain("span.end").alias("until"), "events", "sessions")
     )
 
 
 def without_repeats(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Each event once, if its copies arrive within ``delay`` of each other."""
-    return events.withWatermark("time", delay).dropDuplicatesWithinWatermark(["event_id"])
+    timed = events.withColumn("_at", F.col("time").cast("timestamp"))
+    return timed.withWatermark("_at", delay).dropDuplicatesWithinWatermark(["event_id"]).drop("_at")
 
 
 def start_append(table: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
