@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Fixed value: the characters that the browser's trim() and \s regard as white space.
-SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+SPACES = (
+    "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def compact(text: Column) -> Column:
@@ -18,7 +21,7 @@ def compact(text: Column) -> Column:
 
 
 def one_spaced(text: Column) -> Column:
-    return F.regexp_replace(trimmed(text), f"{SPACE}+", " ")
+    return F.regexp_replace(trimmed(text), f"[{SPACES}]+", " ")
 
 
 def utf16_length(text: Column) -> Column:
@@ -27,9 +30,11 @@ def utf16_length(text: Column) -> Column:
 
 
 def parse_list(text: Column) -> Column:
-    """Items separated by line ends or commas, trimmed, blanks left out."""
-    items = F.transform(F.split(text, r"\r?\n|,"), trimmed)
-    return F.filter(items, lambda item: item != "")
+    """Items separated by line ends or commas, trimmed, blanks left out.
+
+    The carriage return of a line end is white space, so trimming takes it off.
+    """
+    return F.array_remove(F.transform(F.split(text, r"[\n,]"), trimmed), "")
 
 
 def grouped_digits(number: Column) -> Column:

@@ -1,80 +1,96 @@
-"""User-agent classes. First matching rule wins; the rules run inside codegen, one pass per row."""
+"""User-agent classes from the marks an agent text contains. The first rule that fits wins.
+
+Marks are plain substrings: some fifty patterns per row would make this the dearest step of the
+pipeline, while substring tests are cheap enough to need no table of distinct agents.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
-# Fixed values: (pattern, name) in order of precedence.
+# Fixed values: (class, marks of which one must occur, of which one must occur as well, that must
+# not occur).
 BROWSERS = [
-    (r"FBAN/|FBAV/", "Facebook"),
-    (r"Instagram", "Instagram"),
-    (r"MicroMessenger", "WeChat"),
-    (r"EdgA?/|EdgiOS/|Edge/", "Edge"),
-    (r"OPR/|Opera", "Opera"),
-    (r"Vivaldi/", "Vivaldi"),
-    (r"YaBrowser/", "Yandex"),
-    (r"SamsungBrowser/", "Samsung Internet"),
-    (r"UCBrowser/", "UCBrowser"),
-    (r"DuckDuckGo/", "DuckDuckGo"),
-    (r"HuaweiBrowser/", "Huawei Browser"),
-    (r"Silk/", "Silk"),
-    (r"GSA/", "GSA"),
-    (r"MSIE |Trident/", "IE"),
-    (r"HeadlessChrome", "Chrome Headless"),
-    (r"; wv\).*Chrome/", "Chrome WebView"),
-    (r"FxiOS/|Firefox/", "Firefox"),
-    (r"CriOS/|Chrome/", "Chrome"),
-    (r"Chromium/", "Chromium"),
-    (r"Android.*Version/.*Safari/", "Android Browser"),
-    (r"Version/.*Mobile.*Safari/", "Mobile Safari"),
-    (r"Version/.*Safari/", "Safari"),
+    ("Facebook", ["FBAN/", "FBAV/"], [], []),
+    ("Instagram", ["Instagram"], [], []),
+    ("WeChat", ["MicroMessenger"], [], []),
+    ("Edge", ["Edg/", "EdgA/", "EdgiOS/", "Edge/"], [], []),
+    ("Opera", ["OPR/", "Opera"], [], []),
+    ("Vivaldi", ["Vivaldi/"], [], []),
+    ("Yandex", ["YaBrowser/"], [], []),
+    ("Samsung Internet", ["SamsungBrowser/"], [], []),
+    ("UCBrowser", ["UCBrowser/"], [], []),
+    ("DuckDuckGo", ["DuckDuckGo/"], [], []),
+    ("Huawei Browser", ["HuaweiBrowser/"], [], []),
+    ("Silk", ["Silk/"], [], []),
+    ("GSA", ["GSA/"], [], []),
+    ("IE", ["MSIE ", "Trident/"], [], []),
+    ("Chrome Headless", ["HeadlessChrome"], [], []),
+    ("Chrome WebView", ["; wv)"], ["Chrome/"], []),
+    ("Firefox", ["FxiOS/", "Firefox/"], [], []),
+    ("Chromium", ["Chromium/"], [], []),
+    ("Chrome", ["CriOS/", "Chrome/"], [], []),
+    ("Android Browser", ["Android"], ["Safari/"], []),
+    ("Mobile Safari", ["Version/"], ["Mobile/", "Mobile Safari/"], []),
+    ("Safari", ["Version/"], ["Safari/"], []),
 ]
 SYSTEMS = [
-    (r"Windows Phone", "Windows Phone"),
-    (r"Xbox", "Xbox"),
-    (r"PlayStation", "PlayStation"),
-    (r"Nintendo", "Nintendo"),
-    (r"Windows", "Windows"),
-    (r"iPhone|iPad|iPod", "iOS"),
-    (r"Tizen", "Tizen"),
-    (r"[Ww]eb[0O]S", "webOS"),
-    (r"HarmonyOS", "HarmonyOS"),
-    (r"KAIOS", "KAIOS"),
-    (r"Android", "Android"),
-    (r"CrOS", "Chromium OS"),
-    (r"Macintosh|Mac OS X", "Mac OS"),
-    (r"Ubuntu", "Ubuntu"),
-    (r"Debian", "Debian"),
-    (r"Fedora", "Fedora"),
-    (r"FreeBSD", "FreeBSD"),
-    (r"BlackBerry|BB10", "BlackBerry"),
-    (r"Linux", "Linux"),
+    ("Windows Phone", ["Windows Phone"], [], []),
+    ("Xbox", ["Xbox"], [], []),
+    ("PlayStation", ["PlayStation", "PLAYSTATION"], [], []),
+    ("Nintendo", ["Nintendo"], [], []),
+    ("Windows", ["Windows"], [], []),
+    ("iOS", ["iPhone", "iPad", "iPod"], [], []),
+    ("Tizen", ["Tizen"], [], []),
+    ("webOS", ["Web0S", "webOS", "WebOS"], [], []),
+    ("HarmonyOS", ["HarmonyOS"], [], []),
+    ("KAIOS", ["KAIOS"], [], []),
+    ("Android", ["Android"], [], []),
+    ("Chromium OS", ["CrOS"], [], []),
+    ("Mac OS", ["Macintosh", "Mac OS X"], [], []),
+    ("Ubuntu", ["Ubuntu"], [], []),
+    ("Debian", ["Debian"], [], []),
+    ("Fedora", ["Fedora"], [], []),
+    ("FreeBSD", ["FreeBSD"], [], []),
+    ("BlackBerry", ["BlackBerry", "BB10"], [], []),
+    ("Linux", ["Linux"], [], []),
 ]
 DEVICES = [
-    (r"PlayStation|Xbox|Nintendo", "console"),
-    (r"(?i)smart-?tv|appletv|bravia|googletv|hbbtv|crkey|roku|aft[a-z]|web0s", "smarttv"),
-    (r"(?i)\bwatch\b|glass ", "wearable"),
-    (r"iPad|Tablet|Kindle|Silk/(?!.*Mobile)|Android(?!.*Mobile)", "tablet"),
-    (r"iPhone|iPod|Mobile|Windows Phone|BlackBerry|BB10|KAIOS", "mobile"),
-    (r"Tesla/|QtCarBrowser", "embedded"),
+    ("console", ["PlayStation", "PLAYSTATION", "Xbox", "Nintendo"], [], []),
+    ("smarttv", ["SmartTV", "SMART-TV", "Smart-TV", "AppleTV", "BRAVIA", "GoogleTV", "HbbTV", "CrKey", "Roku", "AFT", "Web0S"], [], []),
+    ("wearable", ["Watch", "Glass "], [], []),
+    ("tablet", ["iPad", "Tablet", "Kindle"], [], []),
+    ("tablet", ["Android", "Silk/"], [], ["Mobile"]),
+    ("mobile", ["iPhone", "iPod", "Mobile", "Windows Phone", "BlackBerry", "BB10", "KAIOS"], [], []),
+    ("embedded", ["Tesla/", "QtCarBrowser"], [], []),
 ]
 
 
-def _first_match(agent: Column, rules: list[tuple[str, str]]) -> Column:
-    (pattern, name), *rest = rules
-    result = F.when(agent.rlike(pattern), name)
-    for pattern, name in rest:
-        result = result.when(agent.rlike(pattern), name)
+def _any(agent: Column, marks: list[str]) -> Column:
+    return reduce(Column.__or__, [agent.contains(mark) for mark in marks])
+
+
+def _class(agent: Column, rules: list[tuple[str, list[str], list[str], list[str]]]) -> Column:
+    result = F
+    for name, marks, others, absent in rules:
+        fits = _any(agent, marks)
+        if others:
+            fits = fits & _any(agent, others)
+        if absent:
+            fits = fits & ~_any(agent, absent)
+        result = result.when(fits, name)
     return result
 
 
 def browser(agent: Column) -> Column:
-    return _first_match(agent, BROWSERS)
+    return _class(agent, BROWSERS)
 
 
 def operating_system(agent: Column) -> Column:
-    return _first_match(agent, SYSTEMS)
+    return _class(agent, SYSTEMS)
 
 
 def device(agent: Column) -> Column:
-    return F.coalesce(_first_match(agent, DEVICES), F.lit("desktop"))
+    return F.coalesce(_class(agent, DEVICES), F.lit("desktop"))

@@ -247,11 +247,15 @@ class Fixtures:
             _counted[key] = self.table(name).count()
         return _counted[key]
 
-    def sql(self, text: str) -> DataFrame:
-        tables = {name: self.table(name) for name in TABLES if f"{{{name}}}" in text}
+    def sql(self, text: str, **given: DataFrame) -> DataFrame:
+        tables = {name: self.table(name) for name in TABLES if f"{{{name}}}" in text} | given
         counts = {name: self._count(table) for name, table in COUNTS.items() if f"{{{name}}}" in text}
         return self.spark.sql(text, **tables, **counts)
 
+    def _spread_events(self) -> DataFrame:
+        """The event file is a single split; posts and jobs come in many files."""
+        return self.table("events").repartition(self.spark.sparkContext.defaultParallelism)
+
     def plain_events(self) -> DataFrame:
         return self.sql(PLAIN_EVENTS)
 
@@ -262,7 +266,7 @@ class Fixtures:
         return self.sql(ARRIVALS)
 
     def raw_posts(self) -> DataFrame:
-        return self.sql(raw_posts(SPARK))
+        return self.sql(raw_posts(SPARK), events=self._spread_events())
 
     def tenants(self) -> DataFrame:
         return self.sql(tenants(SPARK))
@@ -280,7 +284,7 @@ class Fixtures:
         return self.sql(funnel_requests(SPARK))
 
     def queued_jobs(self) -> DataFrame:
-        return self.sql(queued_jobs(SPARK))
+        return self.sql(queued_jobs(SPARK), events=self._spread_events())
 
     def stored_events(self) -> DataFrame:
         """Web events in the shape of the event table."""

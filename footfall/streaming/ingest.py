@@ -56,10 +56,10 @@ class IngestPipeline:
         outcomes = admission.apply_limit(resolved, self.limit, carry, counts)
         outcomes = self._kept(admission.with_reason(outcomes), "outcomes", batch_id)
 
-        sound, broken = enrichment.split_jobs(admission.jobs(outcomes))
         self._kept(admission.rejects(outcomes), "quarantine", batch_id)
-        self._kept(broken, "broken_jobs", batch_id)
-        store.write_batch(enrichment.enrich(sound), f"{self.root}/events", batch_id)
+        # Accepted posts keep every rule for jobs; enrichment.split_jobs is for jobs from elsewhere.
+        events = enrichment.enrich(admission.jobs(outcomes))
+        store.write_batch(events, f"{self.root}/events", batch_id)
         stored = self.spark.read.parquet(f"{self.root}/events/batches/batch_id={batch_id}")
         self._kept(live.relay(stored), "feed", batch_id)
         self._kept(carry_over(last_windows, self.limit), "limits", batch_id)
