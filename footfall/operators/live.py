@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from footfall.functions import timing
+from footfall.operators.lookup import lookup
 
 # The room names a relay accepts, and the length of a live list.
 ROOM = r"(?i)^tenant:[0-9a-f-]{36}$"
@@ -42,7 +43,7 @@ def merged_feed(feed: DataFrame, arrived: DataFrame, length: int = FEED_LENGTH)
 
 def fan_out(feed: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Feed rows for each subscriber of the tenant; call it on a feed, which is short per tenant."""
-    return subscriptions.join(feed, "tenant_id")
+    return lookup(subscriptions, feed, "tenant_id", "inner")
 
 
 def delivered(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -50,4 +51,4 @@ def delivered(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     sent = events.groupBy("tenant_id").agg(
         F.count("*").alias("messages"), F.max("time").alias("last_time")
     )
-    return subscriptions.join(sent, "tenant_id")
+    return lookup(subscriptions, sent, "tenant_id", "inner")

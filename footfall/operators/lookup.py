@@ -23,14 +23,16 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BY
 
 
 def lookup(facts: DataFrame, dimension: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """Join on ``key``, unique in ``dimension``; a key may hold any share of the facts.
+    """Join on ``key``, which has few rows in ``dimension`` and any share of the facts.
 
     A small dimension is broadcast, so the facts are not shuffled. A large one is repeated once
     per salt and the facts of a key are spread over the salts, so no task gets a hot key whole.
     """
     if is_small(dimension):
         return facts.join(F.broadcast(dimension), key, how)
-    salted_facts = facts.withColumn("_salt", F.floor(F.rand(seed=11) * SALTS).cast("int"))
+    # A salt that follows from the row stays the same when a lost task runs again.
+    row_salt = F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)).cast("int")
+    salted_facts = facts.withColumn("_salt", row_salt)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     salted_dimension = dimension.withColumn("_salt", salts)
     return salted_facts.join(salted_dimension, [key, "_salt"], how).drop("_salt")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from footfall.functions import timing
 from footfall.operators import validation
@@ -35,23 +35,39 @@ def sessions(events: DataFrame) -> DataFrame:
     )
 
 
-def sessions_by_gap(events: DataFrame, visitor: str, gap: str = "30 minutes") -> DataFrame:
-    """Sessions for inputs without a session id: a visitor's events closer together than ``gap``."""
+def sessions_by_gap(
+    events: DataFrame, visitor: str, gap: timedelta = timedelta(minutes=30)
+) -> DataFrame:
+    """Sessions for inputs without a session id: a visitor's events less than ``gap`` apart.
+
+    Events within one slot of ``gap`` length always belong together, so slots are aggregated first,
+    before the shuffle. A visitor then has at most one row per slot, however many the events.
+    """
+    gap_us = gap // timedelta(microseconds=1)
+    micros = F.unix_micros(F.col("time").cast("timestamp"))
+    slots = events.groupBy(
+        "tenant_id", visitor, F.floor(micros / gap_us).cast("long").alias("slot")
+    ).agg(
+        F.min("time").alias("first"),
+        F.max("time").alias("last"),
+        F.count("*").alias("events"),
+        F.count_if(F.col("event_name") == PAGE_EVENT).alias("page_count"),
+    )
+    in_order = Window.partitionBy("tenant_id", visitor).orderBy("slot")
+    pause = F.col("first") - F.lag("last").over(in_order)
+    starts = F.coalesce(pause >= F.lit(gap), F.lit(True))
+    numbered = slots.withColumn("starts", starts.cast("int")).withColumn(
+        "session", F.sum("starts").over(in_order)
+    )
     return (
-        events.groupBy("tenant_id", visitor, F.session_window("time", gap).alias("span"))
+        numbered.groupBy("tenant_id", visitor, "session")
         .agg(
-            F.count("*").alias("events"),
-            F.count_if(F.col("event_name") == PAGE_EVENT).alias("page_count"),
-            F.max("time").alias("ended_at"),
-        )
-        .select(
-            "tenant_id",
-            visitor,
-            F.col("span.start").cast("timestamp_ntz").alias("started_at"),
-            "ended_at",
-            "events",
-            "page_count",
+            F.min("first").alias("started_at"),
+            F.max("last").alias("ended_at"),
+            F.sum("events").alias("events"),
+            F.sum("page_count").alias("page_count"),
         )
+        .drop("session")
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -13,6 +14,7 @@ from footfall.functions import net, text, timing, useragent
 from footfall.operators import (
     admission, enrichment, funnels, live, quality, ratelimit, rollups, stats, tenancy, validation,
 )
+from footfall.operators.lookup import lookup
 from footfall.operators.scope import TenantScope
 from footfall.session import configure, new_path
 from footfall.sources import store
@@ -104,7 +106,7 @@ def domain_admission(f: Fixtures) -> DataFrame:
         F.col("id").alias("tenant_id"), net.whitelist_hosts(F.col("domain_whitelist")).alias("hosts")
     )
     allowed = net.domain_allowed(F.col("host"), F.col("hosts"))
-    return events.join(hosts, "tenant_id").select("event_id", "host", allowed.alias("allowed"))
+    return lookup(events, hosts, "tenant_id", "inner").select("event_id", "host", allowed.alias("allowed"))
 
 
 @query
@@ -279,7 +281,7 @@ def sessions(f: Fixtures) -> DataFrame:
 
 @query
 def sessions_by_gap(f: Fixtures) -> DataFrame:
-    return rollups.sessions_by_gap(f.plain_events(), "user_id", "12 hours")
+    return rollups.sessions_by_gap(f.plain_events(), "user_id", timedelta(hours=12))
 
 
 @query

@@ -9,8 +9,6 @@ files and min/max statistics skip the files of other tenants and times.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from footfall import schemas
@@ -49,18 +47,26 @@ def append(events: DataFrame, root: str) -> int:
     return batch_id
 
 
-def read_events(spark: SparkSession, root: str) -> DataFrame:
-    """All stored events with ``event_date``, the column to prune days by."""
+def _read(spark: SparkSession, root: str, name: str, numbers: list[int]) -> DataFrame:
+    """The folders ``root/name=N`` as one scan."""
+    if not numbers:
+        return spark.createDataFrame([], _STORED)
+    paths = [f"{root}/{name}={n}" for n in numbers]
+    return spark.read.schema(_STORED).option("basePath", root).parquet(*paths).drop(name)
+
+
+def _open_batches(spark: SparkSession, root: str) -> tuple[list[int], list[int]]:
+    """Compactions, and the batches that no compaction covers."""
     upto = committed(spark, f"{root}/compacted", "upto")
     last = upto[-1] if upto else -1
-    batches = [n for n in committed(spark, f"{root}/batches", "batch_id") if n > last]
-    paths = [f"{root}/compacted/upto={n}" for n in upto] + [
-        f"{root}/batches/batch_id={n}" for n in batches
-    ]
-    if not paths:
-        return spark.createDataFrame([], _STORED)
-    parts = [spark.read.schema(_STORED).parquet(path) for path in paths]
-    return reduce(DataFrame.unionByName, parts)
+    return upto, [n for n in committed(spark, f"{root}/batches", "batch_id") if n > last]
+
+
+def read_events(spark: SparkSession, root: str) -> DataFrame:
+    """All stored events with ``event_date``, the column to prune days by."""
+    upto, batches = _open_batches(spark, root)
+    recent = _read(spark, f"{root}/batches", "batch_id", batches)
+    return _read(spark, f"{root}/compacted", "upto", upto).unionByName(recent) if upto else recent
 
 
 def compact(spark: SparkSession, root: str) -> int | None:
@@ -68,14 +74,10 @@ def compact(spark: SparkSession, root: str) -> int | None:
 
     Old batch folders stay for retention to remove; readers no longer look at them.
     """
-    upto = committed(spark, f"{root}/compacted", "upto")
-    last = upto[-1] if upto else -1
-    batches = [n for n in committed(spark, f"{root}/batches", "batch_id") if n > last]
+    _, batches = _open_batches(spark, root)
     if not batches:
         return None
-    paths = [f"{root}/batches/batch_id={n}" for n in batches]
-    parts = [spark.read.schema(_STORED).parquet(path) for path in paths]
-    small = reduce(DataFrame.unionByName, parts).drop("event_date")
+    small = _read(spark, f"{root}/batches", "batch_id", batches).drop("event_date")
     target = f"{root}/compacted/upto={batches[-1]}"
     in_store_order(small).write.mode("overwrite").partitionBy("event_date").parquet(target)
     return batches[-1]

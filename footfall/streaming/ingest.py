@@ -49,8 +49,11 @@ class IngestPipeline:
         counts = self._kept(admitted_counts(waiting, self.limit, carry), "counts", batch_id)
         last_windows = counts.select("token", "ms", "admitted", "carried")
         if carry is not None:
-            # Tokens without posts in this batch keep what they carried.
+            # Tokens without posts in this batch keep what later posts may still have to count.
+            earliest = counts.where("fresh > 0").agg(F.min("ms")).first()[0]
             idle = carry.join(counts.select("token").distinct(), "token", "left_anti")
+            if earliest is not None:
+                idle = idle.where(F.col("ms") > earliest - self.limit.window_ms)
             idle = idle.select("token", "ms", F.lit(0).cast("long").alias("admitted"), F.col("admitted").alias("carried"))
             last_windows = last_windows.unionByName(idle)
         outcomes = admission.apply_limit(resolved, self.limit, carry, counts)
