@@ -15,56 +15,76 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 MAX_STEPS = 12
 
 
+_KEY = ["tenant_id", "session_id"]
+_ORDER = [*_KEY, "time", "event_id"]
+
+
+def _reached(places: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Per stretch of rows, steps reached after it for each number of steps reached before it.
+
+    ``places`` holds, per step, the sorted row numbers of its events.
+    """
+    steps = len(places)
+    after = np.empty((len(starts), steps + 1), dtype=np.int32)
+    for before in range(steps + 1):
+        count = np.full(len(starts), before, dtype=np.int32)
+        last = starts - 1
+        going = np.ones(len(starts), dtype=bool)
+        for step in range(before, steps):
+            found = places[step]
+            place = np.searchsorted(found, last, side="right")
+            here = np.append(found, np.iinfo(np.int64).max)[place]
+            going &= here < ends
+            count[going] += 1
+            last = np.where(going, here, last)
+        after[:, before] = count
+    return after
+
+
 def _stretches(codes: list[int]):
     """Reduce sorted step events to one row per session and partition."""
-    steps = len(codes)
-
-    def reached(event_codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        places = [np.flatnonzero(event_codes == code) for code in codes]
-        after = np.empty((len(starts), steps + 1), dtype=np.int32)
-        for before in range(steps + 1):
-            count = np.full(len(starts), before, dtype=np.int32)
-            last = starts - 1
-            going = np.ones(len(starts), dtype=bool)
-            for step in range(before, steps):
-                found = np.append(places[step], len(event_codes))
-                here = found[np.searchsorted(found[:-1], last, side="right")]
-                going &= here < ends
-                count[going] += 1
-                last = np.where(going, here, last)
-            after[:, before] = count
-        return after
-
-    def reduce(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for frame in frames:
-            if frame.empty:
+
+    def with_after(rows: pa.RecordBatch, after: np.ndarray) -> pa.RecordBatch:
+        offsets = np.arange(len(after) + 1, dtype=np.int32) * (len(codes) + 1)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(after.ravel()))
+        return pa.RecordBatch.from_arrays([*rows.columns, lists], [*_ORDER, "after"])
+
+    def key(row: pa.RecordBatch) -> list:
+        return [row.column(name)[0].as_py() for name in _KEY]
+
+    def reduce(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last session of a batch may go on in the next one.
+        held_row, held_after = None, None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            frame = frame.reset_index(drop=True)
-            keys = frame["tenant_id"].str.cat(frame["session_id"], sep="/").to_numpy()
-            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            ends = np.append(starts[1:], len(keys))
-            after = reached(frame["code"].to_numpy(), starts, ends)
-            rows = frame.loc[starts, ["tenant_id", "session_id", "time", "event_id"]].reset_index(drop=True)
-            rows["after"] = list(after)
-            if held is not None:
-                first, previous = rows.iloc[0], held.iloc[0]
-                if (first.tenant_id, first.session_id) == (previous.tenant_id, previous.session_id):
-                    joined = held.copy()
-                    joined.at[0, "after"] = first.after[previous.after]
-                    rows = pd.concat([joined, rows.iloc[1:]], ignore_index=True)
-                else:
-                    yield held
-            yield rows.iloc[:-1]
-            held = rows.iloc[-1:].reset_index(drop=True)
-        if held is not None:
-            yield held
+            changes = np.zeros(batch.num_rows - 1, dtype=bool)
+            for name in _KEY:
+                column = batch.column(name)
+                changes |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.append(True, changes))
+            ends = np.append(starts[1:], batch.num_rows)
+            code = batch.column("code").to_numpy()
+            after = _reached([np.flatnonzero(code == c) for c in codes], starts, ends)
+            rows = batch.select(_ORDER).take(pa.array(starts))
+            if held_row is not None and key(held_row) == key(rows):
+                held_after = after[:1, held_after[0]]
+                rows, after = rows.slice(1), after[1:]
+                if not rows.num_rows:
+                    continue
+            if held_row is not None:
+                yield with_after(held_row, held_after)
+            yield with_after(rows.slice(0, rows.num_rows - 1), after[:-1])
+            held_row, held_after = rows.slice(rows.num_rows - 1), after[-1:]
+        if held_row is not None:
+            yield with_after(held_row, held_after)
 
     return reduce
 
@@ -75,15 +95,12 @@ def session_reach(events: DataFrame, steps: list[str]) -> DataFrame:
         raise ValueError("a funnel has 1 to 12 steps")
     names = sorted(set(steps))
     code = F.array_position(F.lit(names), F.col("event_name")).cast("int")
-    step_events = events.where(F.col("event_name").isin(names)).select(
-        "tenant_id", "session_id", "time", "event_id", code.alias("code")
-    )
-    order = ["tenant_id", "session_id", "time", "event_id"]
+    step_events = events.where(F.col("event_name").isin(names)).select(*_ORDER, code.alias("code"))
     schema = "tenant_id string, session_id string, time timestamp_ntz, event_id long, after array<int>"
     stretches = (
-        step_events.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .mapInPandas(_stretches([names.index(s) + 1 for s in steps]), schema)
+        step_events.repartitionByRange(*_ORDER)
+        .sortWithinPartitions(*_ORDER)
+        .mapInArrow(_stretches([names.index(s) + 1 for s in steps]), schema)
     )
     in_order = F.array_sort(F.collect_list(F.struct("time", "event_id", "after")))
     chained = F.aggregate(

@@ -20,6 +20,7 @@ A token may hold any share of the rows, so no step takes a token's events into o
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -129,23 +130,43 @@ def _chains(rated: DataFrame, limit: Limit) -> DataFrame:
 
 def _walk(limit: Limit):
     """Quota per (token, chain, millisecond), reading rows sorted by exactly these."""
+    window, most = limit.window_ms, limit.max_events
 
     def walk(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, admitted, used = None, deque(), 0
         for frame in frames:
-            kept = []
-            for row in frame.itertuples(index=False):
-                if (row.token, row.chain) != current:
-                    current, admitted, used = (row.token, row.chain), deque(), 0
-                while admitted and admitted[0][0] <= row.ms - limit.window_ms:
+            tokens, chains = frame["token"].tolist(), frame["chain"].tolist()
+            times, fresh = frame["ms"].tolist(), frame["fresh"].tolist()
+            carried, lead = frame["carried"].tolist(), frame["lead"].tolist()
+            may_skip = not any(carried)
+            quotas = [0] * len(times)
+            row, end = 0, 0
+            while row < len(times):
+                if row == end:
+                    key = tokens[row], chains[row]
+                    if key != current:
+                        current, admitted, used = key, deque(), 0
+                    end = row + 1
+                    while end < len(times) and tokens[end] == key[0] and chains[end] == key[1]:
+                        end += 1
+                ms = times[row]
+                while admitted and admitted[0][0] <= ms - window:
                     used -= admitted.popleft()[1]
-                # Rows before the chain and rows carried in were admitted already.
-                quota = row.fresh if row.lead else min(row.fresh, max(limit.max_events - used - row.carried, 0))
-                if quota + row.carried:
-                    admitted.append((row.ms, quota + row.carried))
-                    used += quota + row.carried
-                kept.append(quota)
-            out = frame[["token", "ms", "fresh", "carried"]].assign(admitted=kept)
+                if lead[row]:
+                    # Before the chain, hence admitted already.
+                    quotas[row] = fresh[row]
+                elif used < most:
+                    quotas[row] = min(fresh[row], max(most - used - carried[row], 0))
+                elif may_skip:
+                    # Nothing is admitted until the oldest admission leaves the window.
+                    row = bisect_left(times, admitted[0][0] + window, row + 1, end)
+                    continue
+                taken = quotas[row] + carried[row]
+                if taken:
+                    admitted.append((ms, taken))
+                    used += taken
+                row += 1
+            out = frame[["token", "ms", "fresh", "carried"]].assign(admitted=quotas)
             yield out[~frame["lead"].to_numpy()]
 
     return walk
