@@ -42,18 +42,21 @@ def whitelist_host(entry: Column) -> Column:
     return F.nullif(F.when(text.contains("://"), url_host(text)).otherwise(bare), F.lit(""))
 
 
-def whitelist_hosts(whitelist: Column) -> Column:
-    """The hosts of a whitelist, NULL for an empty one, which allows all."""
-    hosts = F.array_compact(F.transform(whitelist, whitelist_host))
-    return F.when(F.size(whitelist) > 0, hosts)
+def dotted(host: Column) -> Column:
+    """With a dot in front, a host equals or lies under another exactly if it ends with it."""
+    return F.concat(F.lit("."), host)
 
 
-def domain_allowed(host: Column, hosts: Column) -> Column:
-    """Whether ``host`` is one of ``hosts`` or lies under one; NULL ``hosts`` allow all."""
-    listed = F.exists(
-        hosts, lambda entry: (host == entry) | host.endswith(F.concat(F.lit("."), entry))
-    )
-    return hosts.isNull() | F.coalesce(listed, F.lit(False))
+def whitelist_endings(whitelist: Column) -> Column:
+    """The dotted hosts of a whitelist, NULL for an empty one, which allows all."""
+    endings = F.transform(whitelist, lambda entry: dotted(whitelist_host(entry)))
+    return F.when(F.size(whitelist) > 0, F.array_compact(endings))
+
+
+def domain_allowed(dotted_host: Column, endings: Column) -> Column:
+    """Whether a host is whitelisted; NULL ``endings`` allow all."""
+    listed = F.exists(endings, dotted_host.endswith)
+    return endings.isNull() | F.coalesce(listed, F.lit(False))
 
 
 def truncated_ip(ip: Column) -> Column:

@@ -31,11 +31,11 @@ def validate(raw: DataFrame) -> DataFrame:
 
 
 def by_token(tenants: DataFrame) -> DataFrame:
-    """Tenants by lower-case token, their whitelists already reduced to hosts."""
+    """Tenants by lower-case token, their whitelists already reduced to host endings."""
     return tenants.select(
         F.lower("token").alias("_token"),
         F.col("id").alias("tenant_id"),
-        net.whitelist_hosts(F.col("domain_whitelist")).alias("_hosts"),
+        net.whitelist_endings(F.col("domain_whitelist")).alias("_endings"),
     )
 
 
@@ -44,14 +44,14 @@ def resolve(checked: DataFrame, tenants: DataFrame) -> DataFrame:
     sound = F.col("violations") == ""
     keyed = checked.withColumn("_token", F.when(sound, F.lower("token")))
     joined = lookup(keyed, by_token(tenants), "_token").drop("_token")
-    allowed = net.domain_allowed(F.col("_host"), F.col("_hosts"))
-    return joined.withColumn("_host", net.url_host(F.col("url"))).withColumn(
+    allowed = net.domain_allowed(F.col("_host"), F.col("_endings"))
+    return joined.withColumn("_host", net.dotted(net.url_host(F.col("url")))).withColumn(
         "status",
         F.when(~F.col("readable"), UNREADABLE)
         .when(F.col("violations") != "", MALFORMED)
         .when(F.col("tenant_id").isNull(), BAD_TOKEN)
         .when(~allowed, BAD_DOMAIN),
-    ).drop("_host", "_hosts")
+    ).drop("_host", "_endings")
 
 
 def apply_limit(

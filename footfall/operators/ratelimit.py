@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -172,10 +172,14 @@ def _walk(limit: Limit):
     return walk
 
 
-def admitted_counts(events: DataFrame, limit: Limit, carry: DataFrame | None = None) -> DataFrame:
+def admitted_counts(
+    events: DataFrame, limit: Limit, carry: DataFrame | None = None,
+    keep: Callable[[DataFrame, str], DataFrame] = stage,
+) -> DataFrame:
     """Per token and millisecond: ``fresh`` arrivals, how many are ``admitted``, and ``carried``.
 
-    ``carry`` (token, ms, admitted) holds the admissions of an earlier run that still count.
+    ``carry`` (token, ms, admitted) holds the admissions of an earlier run that still count. ``keep``
+    writes the counted arrivals, which three steps read.
     """
     counts = arrivals(events)
     if carry is None:
@@ -191,7 +195,7 @@ def admitted_counts(events: DataFrame, limit: Limit, carry: DataFrame | None = N
             .agg(F.sum("fresh").alias("fresh"), F.sum("carried").alias("carried"))
         )
     counts = counts.withColumn("arrived", F.col("fresh") + F.col("carried"))
-    rated = stage(window_sums(counts, "arrived", "in_window", limit), "arrivals")
+    rated = keep(window_sums(counts, "arrived", "in_window", limit), "arrivals")
 
     # A row belongs to its own block. One in the last window of its block also leads into the next
     # block: if a chain starts there, the row was admitted whole and still counts.

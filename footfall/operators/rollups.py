@@ -99,8 +99,21 @@ def reconciled_hours(stored: DataFrame, events: DataFrame, days: DataFrame) -> D
 
     ``days`` is bounded by the calendar, so both joins broadcast it.
     """
-    days = F.broadcast(days)
-    kept = stored.withColumn("event_date", F.to_date("hour")).join(days, "event_date", "left_anti")
-    dated = events if "event_date" in events.columns else events.withColumn("event_date", F.to_date("time"))
-    anew = hourly_stats(dated.join(days, "event_date", "left_semi"))
+    kept = stored.withColumn("event_date", F.to_date("hour")).join(
+        F.broadcast(days), "event_date", "left_anti"
+    )
+    anew = _hours_of(events, days)
     return kept.select(anew.columns).unionByName(anew)
+
+
+def _hours_of(events: DataFrame, days: DataFrame) -> DataFrame:
+    if "event_date" not in events.columns:
+        events = events.withColumn("event_date", F.to_date("time"))
+    return hourly_stats(events.join(F.broadcast(days), "event_date", "left_semi"))
+
+
+def refresh_hours(events: DataFrame, days: DataFrame, path: str) -> None:
+    """Count ``days`` anew and replace just these days in the stored hourly counts."""
+    anew = _hours_of(events, days).withColumn("event_date", F.to_date("hour"))
+    writer = anew.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("event_date").parquet(path)

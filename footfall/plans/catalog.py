@@ -16,7 +16,7 @@ from footfall.operators import (
 )
 from footfall.operators.lookup import lookup
 from footfall.operators.scope import TenantScope
-from footfall.session import configure, new_path
+from footfall.session import configure, new_path, stage
 from footfall.sources import store
 from footfall.sources.fixtures import AS_OF, CLICKED, FUNNEL_STEPS, GONE, HOT_TENANT, PLAIN_EVENTS, Fixtures
 from footfall.streaming import limiter as stream_limiter
@@ -103,9 +103,9 @@ def url_host(f: Fixtures) -> DataFrame:
 def domain_admission(f: Fixtures) -> DataFrame:
     events = f.web_events().select("event_id", "tenant_id", net.url_host(F.col("url")).alias("host"))
     hosts = f.tenants().select(
-        F.col("id").alias("tenant_id"), net.whitelist_hosts(F.col("domain_whitelist")).alias("hosts")
+        F.col("id").alias("tenant_id"), net.whitelist_endings(F.col("domain_whitelist")).alias("endings")
     )
-    allowed = net.domain_allowed(F.col("host"), F.col("hosts"))
+    allowed = net.domain_allowed(net.dotted(F.col("host")), F.col("endings"))
     return lookup(events, hosts, "tenant_id", "inner").select("event_id", "host", allowed.alias("allowed"))
 
 
@@ -331,7 +331,7 @@ def live_relay(f: Fixtures) -> DataFrame:
 @query
 def live_fanout(f: Fixtures) -> DataFrame:
     feed = live.newest(f.plain_events().select("tenant_id", "event_id", "time", "event_name"))
-    return live.fan_out(feed.drop("place"), f.subscriptions())
+    return live.fan_out(stage(feed.drop("place"), "feed"), f.subscriptions())
 
 
 @query

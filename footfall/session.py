@@ -37,7 +37,7 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def _ship_package(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per application."""
+    """Give the Python workers this package, once per application; the driver serves the file."""
     application = spark.sparkContext.applicationId
     if application in _shipped:
         return

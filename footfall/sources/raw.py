@@ -24,9 +24,10 @@ def stream_raw(
 
 def from_kafka(records: DataFrame) -> DataFrame:
     """Kafka records whose value is the post body; partition and offset make the id."""
-    header = lambda name: F.element_at(
-        F.map_from_entries(F.col("headers")), name
-    ).cast("string")
+    # The first of several headers of a name counts.
+    header = lambda name: F.get(
+        F.filter("headers", lambda h: h["key"] == name), 0
+    )["value"].cast("string")
     return records.select(
         (F.col("partition").cast("long") * F.lit(1 << 44) + F.col("offset")).alias("event_id"),
         F.col("timestamp").cast("timestamp_ntz").alias("arrived_at"),

@@ -38,6 +38,10 @@ def write_batch(events: DataFrame, root: str, batch_id: int) -> None:
     in_store_order(events).write.mode("overwrite").partitionBy("event_date").parquet(path)
 
 
+def read_batch(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
+    return spark.read.schema(_STORED).parquet(f"{root}/batches/batch_id={batch_id}")
+
+
 def append(events: DataFrame, root: str) -> int:
     """Store ``events`` as the next batch; for a single writer. Returns the batch number."""
     spark = events.sparkSession

@@ -46,7 +46,8 @@ class IngestPipeline:
 
         waiting = resolved.where(F.col("status").isNull())
         carry = self._carry(batch_id)
-        counts = self._kept(admitted_counts(waiting, self.limit, carry), "counts", batch_id)
+        keep = lambda df, name: self._kept(df, name, batch_id)
+        counts = keep(admitted_counts(waiting, self.limit, carry, keep), "counts")
         last_windows = counts.select("token", "ms", "admitted", "carried")
         if carry is not None:
             # Tokens without posts in this batch keep what later posts may still have to count.
@@ -63,7 +64,7 @@ class IngestPipeline:
         # Accepted posts keep every rule for jobs; enrichment.split_jobs is for jobs from elsewhere.
         events = enrichment.enrich(admission.jobs(outcomes))
         store.write_batch(events, f"{self.root}/events", batch_id)
-        stored = self.spark.read.parquet(f"{self.root}/events/batches/batch_id={batch_id}")
+        stored = store.read_batch(self.spark, f"{self.root}/events", batch_id)
         self._kept(live.relay(stored), "feed", batch_id)
         self._kept(carry_over(last_windows, self.limit), "limits", batch_id)
 

@@ -73,8 +73,10 @@ class Workspace:
         target = Workspace(self.spark, f"{self.root}-purged", self.limit)
         events = tenancy.purge(self.events(), gone).select(schemas.EVENTS.names)
         store.write_batch(events, f"{target.root}/events", 0)
-        target._append(tenancy.purge(self.tenant_log(), gone, "id"), "tenants")
-        target._append(tenancy.purge(self.funnel_rows(), gone), "funnels")
+        tenants = tenancy.purge(self.tenant_log(), gone, "id")
+        tenants.write.mode("overwrite").parquet(f"{target.root}/tenants")
+        definitions = tenancy.purge(self.funnel_rows(), gone)
+        definitions.write.mode("overwrite").parquet(f"{target.root}/funnels")
 
     # Events in
 

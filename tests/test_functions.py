@@ -82,7 +82,7 @@ def test_whitelist_host(spark):
 )
 def test_domain_allowed(spark, host, whitelist, allowed):
     df = spark.createDataFrame([(host, whitelist)], "host string, whitelist array<string>")
-    verdict = net.domain_allowed(F.col("host"), net.whitelist_hosts(F.col("whitelist")))
+    verdict = net.domain_allowed(net.dotted(F.col("host")), net.whitelist_endings(F.col("whitelist")))
     assert df.select(verdict).first()[0] is allowed
 
 

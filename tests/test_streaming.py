@@ -129,3 +129,27 @@ def test_synthetic_traffic_is_admitted(spark):
     checked = admission.validate(posts).collect()
     assert [r["violations"] for r in checked] == ["", "", ""]
     assert len({r["session_id"] for r in checked}) == 1
+
+
+def test_batch_without_an_accepted_post(spark, fixtures):
+    pipeline = IngestPipeline(spark, new_path(spark, "refused"), fixtures.tenants)
+    posts = fixtures.raw_posts()
+    pipeline.process(posts.withColumn("body", F.lit("nonsense")), 0)
+    pipeline.process(posts.where("false"), 1)
+    assert pipeline.events().count() == 0
+    assert pipeline.quarantine().count() == posts.count()
+    pipeline.process(posts, 2)
+    assert pipeline.events().count() > 0
+
+
+def test_refresh_replaces_touched_days_only(spark, fixtures):
+    path = new_path(spark, "hours")
+    events = fixtures.plain_events()
+    late = F.col("event_name") == "error"
+    rollups.refresh_hours(events.where(~late), rollups.touched_days(events), path)
+    first_week = events.where(F.col("time") < F.lit("2024-01-08").cast("timestamp_ntz"))
+    rollups.refresh_hours(events, rollups.touched_days(first_week), path)
+    stored = spark.read.parquet(path)
+    expected = events.where(~late).unionByName(first_week.where(late))
+    columns = ["tenant_id", "hour", "event_name", "count"]
+    assert rows(stored.select(columns)) == rows(rollups.hourly_stats(expected).select(columns))
