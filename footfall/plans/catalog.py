@@ -508,11 +508,11 @@ def stream_ingest(f: Fixtures) -> DataFrame:
 
 @query
 def stream_rate_limit(f: Fixtures) -> DataFrame:
-    f.spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream_limiter.STATE_STORE)
     path = new_path(f.spark, "limited")
     posts = _stream_of(f, f.arrivals(), "arrived_at", "arrivals")
     limited = stream_limiter.limited(posts, LIMIT)
-    stream_rollups.start_append(limited, path, f"{path}-checkpoint").awaitTermination()
+    with stream_limiter.state_store(f.spark):
+        stream_rollups.start_append(limited, path, f"{path}-checkpoint").awaitTermination()
     return f.spark.read.schema(limited.schema).parquet(path).select("event_id", "token", "allowed", "remaining", "reset_at")
 
 

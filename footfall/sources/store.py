@@ -26,6 +26,11 @@ def committed(spark: SparkSession, root: str, name: str) -> list[int]:
     return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in files or [])
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def in_store_order(events: DataFrame) -> DataFrame:
     dated = events.withColumn("event_date", F.to_date("time"))
     order = ["event_date", "tenant_id", "time", "event_id"]

@@ -9,18 +9,31 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from footfall.functions import timing
 from footfall.operators.ratelimit import Limit
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _OUTPUT = "token string, event_id long, ms long, allowed boolean, remaining long"
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Start the stream within this; the setting of the session comes back afterwards."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
 class _Limiter(StatefulProcessor):
     def __init__(self, limit: Limit):
         self.limit = limit

@@ -85,14 +85,23 @@ class Workspace:
 
     def ingest(self, posts: DataFrame) -> DataFrame:
         """Take a batch of posts (``schemas.RAW``); returns each post's outcome."""
+        if store.exists(self.spark, self._checkpoint()):
+            raise RuntimeError("this folder is fed by a stream, which numbers its own batches")
         done = store.committed(self.spark, f"{self.root}/outcomes", "batch_id")
         batch_id = max(done, default=-1) + 1
         self.pipeline().process(posts, batch_id)
         outcomes = self.spark.read.parquet(f"{self.root}/outcomes/batch_id={batch_id}")
         return outcomes.select("event_id", "status", "reason", "remaining", "reset_at")
 
+    def _checkpoint(self) -> str:
+        return f"{self.root}/checkpoint"
+
     def ingest_stream(self, posts: DataFrame, every: str | None = None) -> StreamingQuery:
-        return self.pipeline().start(posts, f"{self.root}/checkpoint", every)
+        """Take a stream of posts. A folder is fed by batches or by a stream, not by both."""
+        fed = store.exists(self.spark, f"{self.root}/landing")
+        if fed and not store.exists(self.spark, self._checkpoint()):
+            raise RuntimeError("this folder is fed by batches; a stream would overwrite them")
+        return self.pipeline().start(posts, self._checkpoint(), every)
 
     def events(self) -> DataFrame:
         return store.read_events(self.spark, f"{self.root}/events")

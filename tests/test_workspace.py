@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from footfall import schemas
 from footfall.session import new_path
+from footfall.sources.raw import stream_raw
 from footfall.workspace import TenantNotSetUp, Workspace
 
 NOW = datetime(2024, 1, 31, 12)
@@ -75,6 +76,22 @@ def test_funnel(workspace):
         workspace.funnel_conversion(OTHER, funnel["id"])
 
 
+def test_batches_and_streams_do_not_mix(spark, workspace, fixtures):
+    with pytest.raises(RuntimeError):
+        workspace.ingest_stream(fixtures.raw_posts())
+    streamed = Workspace(spark, new_path(spark, "streamed"))
+    requests = [(USER, "Streamed", NOW, 1)]
+    schema = "owner_user_id string, name string, requested_at timestamp_ntz, request_id long"
+    streamed.setup_tenants(spark.createDataFrame(requests, schema))
+    posts = new_path(spark, "posts")
+    token = streamed.tenant(USER)["token"]
+    spark.createDataFrame([post(n, token, "pageview") for n in range(5)], schemas.RAW).write.parquet(posts)
+    streamed.ingest_stream(stream_raw(spark, posts, "parquet")).awaitTermination()
+    assert streamed.overview(USER, "24h", NOW).first()["total_events"] == 5
+    with pytest.raises(RuntimeError):
+        streamed.ingest(spark.read.parquet(posts))
+
+
 def test_second_batch_and_purge(spark, workspace):
     workspace.ingest(spark.createDataFrame([post(9, workspace.tenant(USER)["token"], "purchase")], schemas.RAW))
     assert workspace.overview(USER, "24h", NOW).first()["total_events"] == 3
