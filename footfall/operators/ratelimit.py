@@ -139,7 +139,7 @@ def _walk(limit: Limit):
             times, fresh = frame["ms"].tolist(), frame["fresh"].tolist()
             carried, lead = frame["carried"].tolist(), frame["lead"].tolist()
             may_skip = not any(carried)
-            quotas = [0] * len(times)
+            quotas, in_use = [0] * len(times), [most] * len(times)
             row, end = 0, 0
             while row < len(times):
                 if row == end:
@@ -165,8 +165,9 @@ def _walk(limit: Limit):
                 if taken:
                     admitted.append((ms, taken))
                     used += taken
+                in_use[row] = used
                 row += 1
-            out = frame[["token", "ms", "fresh", "carried"]].assign(admitted=quotas)
+            out = frame[["token", "ms", "fresh", "carried"]].assign(admitted=quotas, used=in_use)
             yield out[~frame["lead"].to_numpy()]
 
     return walk
@@ -176,7 +177,8 @@ def admitted_counts(
     events: DataFrame, limit: Limit, carry: DataFrame | None = None,
     keep: Callable[[DataFrame, str], DataFrame] = stage,
 ) -> DataFrame:
-    """Per token and millisecond: ``fresh`` arrivals, how many are ``admitted``, and ``carried``.
+    """Per token and millisecond: ``fresh`` arrivals, how many are ``admitted``, ``carried`` ones, and
+    the quota ``used`` in the window after them (all of it where any was refused).
 
     ``carry`` (token, ms, admitted) holds the admissions of an earlier run that still count. ``keep``
     writes the counted arrivals, which three steps read.
@@ -211,10 +213,13 @@ def admitted_counts(
         .select("token", "chain", "ms", "fresh", "carried", "lead")
         .repartition("token", "chain")
         .sortWithinPartitions("token", "chain", "ms")
-        .mapInPandas(_walk(limit), "token string, ms long, fresh long, carried long, admitted long")
+        .mapInPandas(
+            _walk(limit), "token string, ms long, fresh long, carried long, admitted long, used long"
+        )
     )
+    # Nothing was refused in the windows of a chain without an excess: arrivals are admissions.
     calm = rated.join(hot, ["token", "block"], "left_anti").select(
-        "token", "ms", "fresh", "carried", F.col("fresh").alias("admitted")
+        "token", "ms", "fresh", "carried", F.col("fresh").alias("admitted"), F.col("in_window").alias("used")
     )
     return calm.unionByName(walked)
 
@@ -229,9 +234,8 @@ def rate_limit(
     """
     if counts is None:
         counts = admitted_counts(events, limit, carry)
-    counts = counts.withColumn("_taken", F.col("admitted") + F.col("carried"))
-    quota = window_sums(counts, "_taken", "_used", limit).select(
-        "token", F.col("ms").alias("_ms"), F.col("admitted").alias("_admitted"), "_used"
+    quota = counts.select(
+        "token", F.col("ms").alias("_ms"), F.col("admitted").alias("_admitted"), F.col("used").alias("_used")
     )
     rank = F.row_number().over(Window.partitionBy("token", "_ms").orderBy("event_id"))
     ranked = (
