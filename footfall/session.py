@@ -16,7 +16,6 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-_local_work_dir: str | None = None
 _shipped: set[str] = set()
 
 
@@ -32,6 +31,7 @@ def build_session(master: str | None = None, app: str = "footfall", **conf: str)
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the runtime settings that results depend on; buckets are always cut in UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last one counts, as in any JSON reader
     _ship_package(spark)
     return spark
 
@@ -49,16 +49,11 @@ def _ship_package(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only for a local master."""
-    global _local_work_dir
+    """The shared folder of the cluster, or where that is unset a folder beside the session's tables."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/footfall"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if _local_work_dir is None:
-        _local_work_dir = tempfile.mkdtemp(prefix="footfall-")
-    return _local_work_dir
+    if not shared:
+        shared = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/footfall"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
