@@ -21,8 +21,11 @@ from footfall.llm.rows import addressed
 from footfall.operators.lookup import is_small
 from footfall.session import new_path, stage
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Files of stores with few keys stay small, so many state partitions cost little disk.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 LANDED = "digest string, missing boolean, id long, file string, row long"
 
 
@@ -59,8 +62,9 @@ def observe(spark: SparkSession, folder: str, files_per_batch: int | None = None
     def keep(changes: DataFrame, batch: int) -> None:
         changes.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/changes/at={batch}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_SETTINGS}
+    for key, value in STATE_SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         stream = spark.readStream.schema(LANDED)
         if files_per_batch:
@@ -79,7 +83,8 @@ def observe(spark: SparkSession, folder: str, files_per_batch: int | None = None
             .awaitTermination()
         )
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def seen(spark: SparkSession, folder: str) -> DataFrame:
