@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm import exact, mixing, packing, urls
+from footfall.llm import exact, jaccard, lm, mixing, packing, urls
 from footfall.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,13 @@ def op3_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_by_document(documents(spark, folder)).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
+    scored = lm.score_documents(documents(spark, folder), ~held_out).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
@@ -96,3 +103,9 @@ best AS (
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN best USING (page_id)
 """
+
+
+@query
+def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard.similar_documents(documents(spark, folder))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
