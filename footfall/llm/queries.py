@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm import exact, jaccard, lm, mixing, packing, urls
+from footfall.llm import exact, jaccard, lm, mixing, packing, toxicity, urls
 from footfall.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,15 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p L
 def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     found = jaccard.similar_documents(documents(spark, folder))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
+
+
+@query
+def op5_toxicity_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+    model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"), ~held_out)
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.7).cast("int").alias("predicted"), F.col("toxic_spans").alias("spans"),
+    )
