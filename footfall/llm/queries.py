@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from footfall.llm import exact, jaccard, lm, mixing, packing, toxicity, urls
+from footfall.llm import exact, hilbert, jaccard, licenses, lm, mixing, packing, sampling, toxicity, urls
 from footfall.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,29 @@ def op5_toxicity_crf(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"),
         (F.col("toxic_score") >= 0.7).cast("int").alias("predicted"), F.col("toxic_spans").alias("spans"),
     )
+
+
+@query
+def op6_hilbert_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = hilbert.shards(documents(spark, folder))
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "curve",
+    )
+
+
+@query
+def op8_consistent_weighted_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    made = sampling.fingerprint_documents(documents(spark, folder))
+    return made.select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256",
+        sampling.as_text(F.col("samples")).alias("fingerprint"), sampling.as_text(F.col("edited_samples")).alias("edited_fingerprint"),
+        sampling.agreement(F.col("samples"), F.col("edited_samples")).alias("near_edited"),
+        sampling.agreement(F.col("samples"), F.col("next_samples")).alias("near_next"),
+    )
+
+
+@query
+def op10_license_diagonals(spark: SparkSession, folder: str) -> DataFrame:
+    _, per_row = licenses.scan_licenses(documents(spark, folder))
+    return per_row.drop("row").withColumnRenamed("id", "doc_id")

@@ -273,8 +273,15 @@ def _first(texts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
 
 
-def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``toxic_score`` and ``toxic_spans`` (begin and end in bytes, and the span's strongest marginal)."""
+def score_documents(
+    docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxic_score", spans_col: str = "toxic_spans"
+) -> DataFrame:
+    """``docs`` with a score and spans (begin and end in bytes, and the span's strongest marginal).
+
+    All columns are kept; name the new ones so that they are not among them.
+    """
+    if {score_col, spans_col} & set(docs.columns):
+        raise ValueError(f"{score_col} or {spans_col} is a column already")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())])
 
@@ -304,11 +311,9 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
                 part = batch.slice(begin, end - begin)
                 score, spans = tag(part.column(at))
                 columns = [*part.columns, pa.array(score), pa.array(spans, pa.list_(span))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "toxic_score", "toxic_spans"])
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, score_col, spans_col])
 
-    clash = [c for c in docs.columns if c in ("toxic_score", "toxic_spans")]
-    docs = docs.drop(*clash)
     names = docs.columns
     spans = "array<struct<begin: bigint, end: bigint, probability: double>>"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "toxic_score double", f"toxic_spans {spans}"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{score_col}` double", f"`{spans_col}` {spans}"])
     return docs.mapInArrow(run, schema)
