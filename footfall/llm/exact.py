@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from footfall.llm.rows import addressed
+from footfall.llm.rows import addressed, without
 from footfall.operators.lookup import is_small
 from footfall.session import new_path, stage
 
@@ -139,9 +139,5 @@ def exact_duplicates(
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     docs = addressed(docs)
-    dropped = stage(
-        exact_duplicates(docs, id_col, text_col).filter("NOT kept").select("file", "row"), "exact-dropped"
-    )
-    dropped = F.broadcast(dropped) if is_small(dropped) else dropped
-    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-    return docs.join(dropped, (file == dropped.file) & (row == dropped.row), "left_anti")
+    dropped = exact_duplicates(docs, id_col, text_col).filter("NOT kept").select(F.xxhash64("file", "row").alias("row"))
+    return without(docs, stage(dropped, "exact-dropped"))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from footfall.llm.components import components
 from footfall.llm.hashing import mix, shingles, slices, words
-from footfall.llm.rows import addressed, row_number
+from footfall.llm.rows import addressed, row_number, without
 from footfall.operators.lookup import is_small
 from footfall.session import stage
 
@@ -508,5 +508,4 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFra
     dropped = stage(
         found.filter("n_shingles > 0").join(repeated, "component_id").filter("row <> keep.row").select("row"), "jaccard-dropped"
     )
-    dropped = F.broadcast(dropped) if is_small(dropped) else dropped
-    return docs.join(dropped, row_number() == dropped["row"], "left_anti")
+    return without(docs, dropped)

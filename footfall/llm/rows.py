@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
+from footfall.operators.lookup import is_small
 from footfall.session import stage
 
 
@@ -18,5 +19,18 @@ def addressed(docs: DataFrame) -> DataFrame:
 
 
 def row_number() -> Column:
-    """The same for a row whichever way and however often the files are read."""
+    """The same for a row whichever way and however often the files are read.
+
+    Two rows of a table share a number with a chance of 2**-64 per pair.
+    """
     return F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` (a plain scan) without the rows numbered in ``dropped``; texts move only if there are many of these."""
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    dropped = dropped.select(F.col("row").alias(name))
+    dropped = F.broadcast(dropped) if is_small(dropped) else dropped
+    return docs.select("*", row_number().alias(name)).join(dropped, name, "left_anti").drop(name)
