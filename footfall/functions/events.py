@@ -20,7 +20,7 @@ def click_properties(tag: Column, element_id: Column, text: Column, href: Column
 
 
 def property_value(properties: Column, name: str) -> Column:
-    return F.get_json_object(properties, f"$.{name}")
+    return F.get_json_object(properties, "$['" + name + "']")
 
 
 def agent_label(device: Column, browser: Column) -> Column:

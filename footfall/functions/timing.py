@@ -12,7 +12,7 @@ RANGES = {"24h": timedelta(hours=24), "7d": timedelta(days=7), "30d": timedelta(
 # Date-time with an offset or Z; seconds are required, a fraction is allowed.
 ISO_WITH_OFFSET = (
     r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])"
-    r"T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?(Z|[+-]\d{2}:?\d{2})$"
+    r"T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?(Z|[+-]\d{2}:?\d{2})\z"
 )
 
 

@@ -9,7 +9,7 @@ from footfall.operators.lookup import lookup
 from footfall.session import stage
 
 # The room names a relay accepts, and the length of a live list.
-ROOM = r"(?i)^tenant:[0-9a-f-]{36}$"
+ROOM = r"(?i)^tenant:[0-9a-f-]{36}\z"
 FEED_LENGTH = 10
 
 RELAY_COLUMNS = [

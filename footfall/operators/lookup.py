@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
+LEAST_SALTS = 32
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
@@ -31,8 +31,10 @@ def lookup(facts: DataFrame, dimension: DataFrame, key: str, how: str = "left")
     if is_small(dimension):
         return facts.join(F.broadcast(dimension), key, how)
     # A salt that follows from the row stays the same when a lost task runs again.
-    row_salt = F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)).cast("int")
+    # As many salts as shuffle partitions: a hot key can then use the whole cluster.
+    n_salts = max(LEAST_SALTS, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    row_salt = F.pmod(F.xxhash64(*facts.columns), F.lit(n_salts)).cast("int")
     salted_facts = facts.withColumn("_salt", row_salt)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1)))
     salted_dimension = dimension.withColumn("_salt", salts)
     return salted_facts.join(salted_dimension, [key, "_salt"], how).drop("_salt")

@@ -14,8 +14,8 @@ MAX_PROPERTIES = 10_240
 MAX_URL = 2048
 MAX_AGENT = 1024
 MAX_EVENT_NAME_JOB = 128
-UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-EVENT_NAME = r"^[a-zA-Z0-9_\-.]{1,100}$"
+UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\z"
+EVENT_NAME = r"^[a-zA-Z0-9_\-.]{1,100}\z"
 JSON_SPACE = " \t\r\n"
 
 # Column and wire name of the text fields. Those in _TYPED would pass their rule as another JSON type

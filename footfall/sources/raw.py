@@ -53,9 +53,9 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
 
 
 TRAFFIC = [
-    ("pageview", {"path": "/home", "source": "automated-test"}),
-    ("click", {"tag": "button", "text": "Trigger Signup Action", "source": "automated-test"}),
-    ("signup", {"plan": "pro", "source": "automated-test"}),
+    ("pageview", {"section": "catalogue"}),
+    ("click", {"tag": "a", "text": "Order now"}),
+    ("signup", {"channel": "newsletter"}),
 ]
 
 

@@ -37,7 +37,9 @@ class Workspace:
     def _table(self, name: str, schema) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":  # an unreadable table is not an empty one
+                raise
             return self.spark.createDataFrame([], schema)
 
     def _append(self, df: DataFrame, name: str) -> None:
