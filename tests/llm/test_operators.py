@@ -196,7 +196,8 @@ def test_filter_never_forgets():
     counts = np.arange(1, 5001) % 40 + 1
     order = np.argsort(keys)
     cuts = np.searchsorted(keys[order] >> np.uint64(62), np.arange(5, dtype=np.uint64))
-    made = lm.CountFilter([lm.make_filter(keys[order][a:b], counts[order][a:b], 1 << 20) for a, b in zip(cuts, cuts[1:])])
+    segments = [lm.make_filter(keys[order][a:b], counts[order][a:b], 1 << 20) for a, b in zip(cuts, cuts[1:])]
+    made = lm.CountFilter([len(s) for s in segments], b"".join(segments))
     levels = made.level(keys)
     assert (levels >= lm.levels(counts)).all() and (levels > lm.levels(counts)).mean() < 0.1
     assert (made.level(lm.mix(np.arange(10_000, 20_000, dtype=np.uint64))) > 0).mean() < 0.1
