@@ -64,26 +64,27 @@ def _read(spark: SparkSession, root: str, name: str, numbers: list[int]) -> Data
     return spark.read.schema(_STORED).option("basePath", root).parquet(*paths).drop(name)
 
 
-def _open_batches(spark: SparkSession, root: str) -> tuple[list[int], list[int]]:
+def _open_batches(spark: SparkSession, root: str, newest: int | None) -> tuple[list[int], list[int]]:
     """Compactions, and the batches that no compaction covers."""
     upto = committed(spark, f"{root}/compacted", "upto")
     last = upto[-1] if upto else -1
-    return upto, [n for n in committed(spark, f"{root}/batches", "batch_id") if n > last]
+    batches = committed(spark, f"{root}/batches", "batch_id")
+    return upto, [n for n in batches if n > last and (newest is None or n <= newest)]
 
 
-def read_events(spark: SparkSession, root: str) -> DataFrame:
-    """All stored events with ``event_date``, the column to prune days by."""
-    upto, batches = _open_batches(spark, root)
+def read_events(spark: SparkSession, root: str, newest: int | None = None) -> DataFrame:
+    """All stored events with ``event_date``, the column to prune days by; with ``newest``, up to that batch."""
+    upto, batches = _open_batches(spark, root, newest)
     recent = _read(spark, f"{root}/batches", "batch_id", batches)
     return _read(spark, f"{root}/compacted", "upto", upto).unionByName(recent) if upto else recent
 
 
-def compact(spark: SparkSession, root: str) -> int | None:
-    """Rewrite the batches since the last compaction in large sorted files.
+def compact(spark: SparkSession, root: str, newest: int | None = None) -> int | None:
+    """Rewrite the batches since the last compaction in large sorted files; with ``newest``, up to that batch.
 
     Old batch folders stay for retention to remove; readers no longer look at them.
     """
-    _, batches = _open_batches(spark, root)
+    _, batches = _open_batches(spark, root, newest)
     if not batches:
         return None
     small = _read(spark, f"{root}/batches", "batch_id", batches).drop("event_date")

@@ -2,7 +2,8 @@
 
 One micro-batch is admitted, rate limited, enriched, stored and relayed. Each output goes to a
 folder of its own for the batch and is overwritten on replay, so a batch that ran half way can run
-again. Tenants are read anew for each batch. The rate limit carries each token's last window of
+again. The carried limits are written last and so commit the batch: readers leave out anything newer
+than the newest commit. Tenants are read anew for each batch. The rate limit carries each token's last window of
 admissions from batch to batch; posts must reach the stream in order of arrival.
 """
 
@@ -34,18 +35,27 @@ class IngestPipeline:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _carry(self, batch_id: int) -> DataFrame | None:
-        earlier = [n for n in store.committed(self.spark, f"{self.root}/limits", "batch_id") if n < batch_id]
-        if not earlier:
-            return None
-        return self.spark.read.parquet(self._folder("limits", earlier[-1]))
+    def _commits(self) -> list[int]:
+        return store.committed(self.spark, f"{self.root}/limits", "batch_id")
+
+    def newest(self) -> int:
+        """The last batch that was written whole; -1 before the first."""
+        return max(self._commits(), default=-1)
+
+    def limits(self, before: int | None = None) -> DataFrame | None:
+        """What the newest batch, or the newest one before another, carries over; None if there is no such batch."""
+        earlier = [n for n in self._commits() if before is None or n < before]
+        return self.spark.read.parquet(self._folder("limits", earlier[-1])) if earlier else None
+
+    def commit(self, limits: DataFrame, batch_id: int) -> None:
+        self._kept(limits, "limits", batch_id)
 
     def process(self, posts: DataFrame, batch_id: int) -> None:
         checked = admission.validate(posts)
         resolved = self._kept(admission.resolve(checked, self.tenants()), "landing", batch_id)
 
         waiting = resolved.where(F.col("status").isNull())
-        carry = self._carry(batch_id)
+        carry = self.limits(before=batch_id)
         keep = lambda df, name: self._kept(df, name, batch_id)
         counts = keep(admitted_counts(waiting, self.limit, carry, keep), "counts")
         last_windows = counts.select("token", "ms", "admitted", "carried")
@@ -66,7 +76,7 @@ class IngestPipeline:
         store.write_batch(events, f"{self.root}/events", batch_id)
         stored = store.read_batch(self.spark, f"{self.root}/events", batch_id)
         self._kept(live.relay(stored), "feed", batch_id)
-        self._kept(carry_over(last_windows, self.limit), "limits", batch_id)
+        self.commit(carry_over(last_windows, self.limit), batch_id)
 
     def start(self, posts: DataFrame, checkpoint: str, every: str | None = None) -> StreamingQuery:
         """Run until stopped, every ``every``; without it, take what is there and end."""
@@ -75,13 +85,19 @@ class IngestPipeline:
         return writer.start()
 
     def events(self) -> DataFrame:
-        return store.read_events(self.spark, f"{self.root}/events")
+        return store.read_events(self.spark, f"{self.root}/events", self.newest())
+
+    def compact(self) -> int | None:
+        return store.compact(self.spark, f"{self.root}/events", self.newest())
+
+    def _batches(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}").where(F.col("batch_id") <= self.newest())
 
     def outcomes(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/outcomes")
+        return self._batches("outcomes")
 
     def quarantine(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/quarantine")
+        return self._batches("quarantine")
 
     def feed(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/feed")
+        return self._batches("feed")

@@ -73,8 +73,12 @@ class Workspace:
         What stays is written to the folder's next generation; ``self`` still names the old one.
         """
         target = Workspace(self.spark, f"{self.root}-purged", self.limit)
-        events = tenancy.purge(self.events(), gone).select(schemas.EVENTS.names)
-        store.write_batch(events, f"{target.root}/events", 0)
+        limits = self.pipeline().limits()
+        if limits is not None:
+            events = tenancy.purge(self.events(), gone).select(schemas.EVENTS.names)
+            store.write_batch(events, f"{target.root}/events", 0)
+            tokens = self.tenant_log().join(gone.select(F.col("tenant_id").alias("id")), "id").select("token").distinct()
+            target.pipeline().commit(limits.join(tokens, "token", "left_anti"), 0)
         tenants = tenancy.purge(self.tenant_log(), gone, "id")
         tenants.write.mode("overwrite").parquet(f"{target.root}/tenants")
         definitions = tenancy.purge(self.funnel_rows(), gone)
@@ -86,12 +90,15 @@ class Workspace:
         return IngestPipeline(self.spark, self.root, self.tenants, self.limit)
 
     def ingest(self, posts: DataFrame) -> DataFrame:
-        """Take a batch of posts (``schemas.RAW``); returns each post's outcome."""
+        """Take a batch of posts (``schemas.RAW``); returns each post's outcome.
+
+        A call that failed left nothing that reports read, and the next one takes its number.
+        """
         if store.exists(self.spark, self._checkpoint()):
             raise RuntimeError("this folder is fed by a stream, which numbers its own batches")
-        done = store.committed(self.spark, f"{self.root}/outcomes", "batch_id")
-        batch_id = max(done, default=-1) + 1
-        self.pipeline().process(posts, batch_id)
+        pipeline = self.pipeline()
+        batch_id = pipeline.newest() + 1
+        pipeline.process(posts, batch_id)
         outcomes = self.spark.read.parquet(f"{self.root}/outcomes/batch_id={batch_id}")
         return outcomes.select("event_id", "status", "reason", "remaining", "reset_at")
 
@@ -106,7 +113,7 @@ class Workspace:
         return self.pipeline().start(posts, self._checkpoint(), every)
 
     def events(self) -> DataFrame:
-        return store.read_events(self.spark, f"{self.root}/events")
+        return self.pipeline().events()
 
     # Reports
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from footfall import schemas
 from footfall.session import new_path
+from footfall.sources import store
 from footfall.sources.raw import stream_raw
+from footfall.streaming.ingest import IngestPipeline
 from footfall.workspace import TenantNotSetUp, Workspace
 
 NOW = datetime(2024, 1, 31, 12)
@@ -92,6 +94,39 @@ def test_batches_and_streams_do_not_mix(spark, workspace, fixtures):
         streamed.ingest(spark.read.parquet(posts))
 
 
+@pytest.mark.parametrize("broken", ["landing", "outcomes", "events", "feed"])
+def test_failed_batch_is_taken_once(spark, monkeypatch, broken):
+    site = Workspace(spark, new_path(spark, "retried"))
+    schema = "owner_user_id string, name string, requested_at timestamp_ntz, request_id long"
+    site.setup_tenants(spark.createDataFrame([(USER, "Retried", NOW, 1)], schema))
+    token = site.tenant(USER)["token"]
+    first = spark.createDataFrame([post(n, token, "pageview") for n in range(2)], schemas.RAW)
+    second = spark.createDataFrame([post(n, token, "signup") for n in range(2, 5)], schemas.RAW)
+    site.ingest(first)
+    kept, write_batch = IngestPipeline._kept, store.write_batch
+
+    def kept_then_fail(self, df, name, batch_id):
+        out = kept(self, df, name, batch_id)
+        if name == broken:
+            raise OSError("lost")
+        return out
+
+    def stored_then_fail(events, root, batch_id):
+        write_batch(events, root, batch_id)
+        if broken == "events":
+            raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(IngestPipeline, "_kept", kept_then_fail)
+        patch.setattr(store, "write_batch", stored_then_fail)
+        with pytest.raises(OSError):
+            site.ingest(second)
+    assert site.events().count() == 2
+    assert {r["status"] for r in site.ingest(second).collect()} == {200}
+    assert sorted(r["event_id"] for r in site.events().collect()) == [0, 1, 2, 3, 4]
+    assert site.pipeline().feed().count() == site.pipeline().outcomes().count() == 5
+
+
 def test_second_batch_and_purge(spark, workspace):
     workspace.ingest(spark.createDataFrame([post(9, workspace.tenant(USER)["token"], "purchase")], schemas.RAW))
     assert workspace.overview(USER, "24h", NOW).first()["total_events"] == 3
@@ -101,3 +136,5 @@ def test_second_batch_and_purge(spark, workspace):
     assert left.events().count() == 1
     assert left.funnel_rows().count() == 0
     assert left.tenant(OTHER)["name"] == "Other"
+    left.ingest(spark.createDataFrame([post(11, left.tenant(OTHER)["token"], "purchase")], schemas.RAW))
+    assert left.events().count() == 2
