@@ -22,6 +22,11 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BY
     return found["rows"] <= rows and found["size"] <= size
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it was counted to be small, else as it is."""
+    return F.broadcast(df) if is_small(df) else df
+
+
 def lookup(facts: DataFrame, dimension: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join on ``key``, which has few rows in ``dimension`` and any share of the facts.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from footfall.functions import timing
 from footfall.operators import validation
+from footfall.operators.lookup import sized
 from footfall.operators.scope import TenantScope
 
 PAGE_EVENT = "pageview"
@@ -97,11 +98,10 @@ def touched_days(new_events: DataFrame) -> DataFrame:
 def reconciled_hours(stored: DataFrame, events: DataFrame, days: DataFrame) -> DataFrame:
     """Stored hourly counts with the rows of ``days`` counted anew from all events.
 
-    ``days`` is bounded by the calendar, so both joins broadcast it.
+    Event dates come from clients, so ``days`` is broadcast only where it is small.
     """
-    kept = stored.withColumn("event_date", F.to_date("hour")).join(
-        F.broadcast(days), "event_date", "left_anti"
-    )
+    days = sized(days)
+    kept = stored.withColumn("event_date", F.to_date("hour")).join(days, "event_date", "left_anti")
     anew = _hours_of(events, days)
     return kept.select(anew.columns).unionByName(anew)
 
@@ -109,11 +109,11 @@ def reconciled_hours(stored: DataFrame, events: DataFrame, days: DataFrame) -> D
 def _hours_of(events: DataFrame, days: DataFrame) -> DataFrame:
     if "event_date" not in events.columns:
         events = events.withColumn("event_date", F.to_date("time"))
-    return hourly_stats(events.join(F.broadcast(days), "event_date", "left_semi"))
+    return hourly_stats(events.join(days, "event_date", "left_semi"))
 
 
 def refresh_hours(events: DataFrame, days: DataFrame, path: str) -> None:
     """Count ``days`` anew and replace just these days in the stored hourly counts."""
-    anew = _hours_of(events, days).withColumn("event_date", F.to_date("hour"))
+    anew = _hours_of(events, sized(days)).withColumn("event_date", F.to_date("hour"))
     writer = anew.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("event_date").parquet(path)

@@ -43,10 +43,11 @@ def _url_rule(url: Column) -> Column:
 def parse_bodies(raw: DataFrame) -> DataFrame:
     """Payload fields out of the JSON body.
 
-    ``readable`` is false for text that is no JSON object or array or that is over the size limit.
+    ``readable`` is false for text that is no JSON object or array or that is over the size limit;
+    a missing or empty body reads as an empty object.
     A field's ``_kind`` is NULL if the field is absent and VOID for a JSON null.
     """
-    body = F.col("body")
+    body = F.coalesce(F.nullif("body", F.lit("")), F.lit("{}"))
     text = F.btrim(body, F.lit(JSON_SPACE))
     in_size = F.octet_length(body) <= MAX_BODY_BYTES
     is_object = in_size & text.startswith("{") & text.endswith("}")

@@ -389,8 +389,12 @@ SELECT tenant_id, session_id AS id, min(time) AS started_at, max(time) AS ended_
 FROM ({STORED}) GROUP BY 1, 2""",
         "sessions_by_gap": gap,
         "timeseries_from_rollup": _series("day", 30, "AND event_name = 'pageview'"),
-        "rollup_reconcile": HOURS,
+        "rollup_reconcile": f"""
+SELECT tenant_id, hour, event_name, count + CASE WHEN cast(hour AS date) IN (
+  SELECT cast(time AS date) FROM ({PLAIN}) WHERE event_name = 'error' AND extract(day FROM time) % 3 = 0
+) THEN 0 ELSE 1000 END AS count FROM ({HOURS})""",
         "funnel_conversion": _funnel(fx.FUNNEL_STEPS[0], f"tenant_id = '{T0}'"),
+        "funnel_conversion_range": _funnel(fx.FUNNEL_STEPS[0], _range(7)),
         "funnel_conversion_all_tenants": _funnel(fx.FUNNEL_STEPS[0]),
         "funnel_conversion_two_steps": _funnel(fx.FUNNEL_STEPS[1]),
         "funnel_conversion_repeated_step": _funnel(fx.FUNNEL_STEPS[2]),
@@ -445,9 +449,10 @@ SELECT column_name, null_count FROM (
   ON {', '.join(_EVENT_COLUMNS)} INTO NAME column_name VALUE null_count)""",
         "unique_audit": " UNION ALL ".join(
             [
-                f"SELECT '{key}' AS rule, {key} AS value, count(*) AS copies FROM ({LOG}) WHERE {key} IS NOT NULL GROUP BY {key} HAVING count(*) > 1"
+                f"SELECT '{key}' AS rule, {key} AS value, count(*) AS copies FROM ({latest}) WHERE {key} IS NOT NULL GROUP BY {key} HAVING count(*) > 1"
                 for key in ("id", "token", "owner_user_id")
             ]
+            + [f"SELECT 'requested owner', owner_user_id, count(*) FROM ({SETUP}) GROUP BY 2 HAVING count(*) > 1"]
             + [f"SELECT 'hour', tenant_id, count(*) FROM ({HOURS}) GROUP BY tenant_id, hour, event_name HAVING count(*) > 1"]
         ),
         "orphan_audit": f"SELECT tenant_id, count(*) AS rows FROM ({PLAIN}) WHERE tenant_id IN ({GONE}) GROUP BY 1",

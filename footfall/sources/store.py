@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from footfall import schemas
 
+#: What a task of a compaction reads, about.
+FILE_BYTES = 512 * 1024 * 1024
 EVENT_DATE = T.StructField("event_date", T.DateType())
 _STORED = T.StructType(schemas.EVENTS.fields + [EVENT_DATE])
 
@@ -31,10 +33,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def in_store_order(events: DataFrame) -> DataFrame:
+def _bytes(spark: SparkSession, paths: list[str]) -> int:
+    hadoop = [spark._jvm.org.apache.hadoop.fs.Path(path) for path in paths]
+    files = hadoop[0].getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(files.getContentSummary(path).getLength() for path in hadoop)
+
+
+def in_store_order(events: DataFrame, stored_bytes: int = 0) -> DataFrame:
+    """Cut and sorted by day, tenant and time; ``stored_bytes`` asks for more cuts than the session's."""
     dated = events.withColumn("event_date", F.to_date("time"))
     order = ["event_date", "tenant_id", "time", "event_id"]
-    return dated.repartitionByRange(*order).sortWithinPartitions(*order)
+    cuts = -(-stored_bytes // FILE_BYTES)
+    # Without a number the session's count holds, which adaptive execution can lower but not raise.
+    more = [cuts] if cuts > int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    return dated.repartitionByRange(*more, *order).sortWithinPartitions(*order)
 
 
 def write_batch(events: DataFrame, root: str, batch_id: int) -> None:
@@ -89,5 +101,6 @@ def compact(spark: SparkSession, root: str, newest: int | None = None) -> int |
         return None
     small = _read(spark, f"{root}/batches", "batch_id", batches).drop("event_date")
     target = f"{root}/compacted/upto={batches[-1]}"
-    in_store_order(small).write.mode("overwrite").partitionBy("event_date").parquet(target)
+    size = _bytes(spark, [f"{root}/batches/batch_id={n}" for n in batches])
+    in_store_order(small, size).write.mode("overwrite").partitionBy("event_date").parquet(target)
     return batches[-1]

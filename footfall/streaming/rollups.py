@@ -61,8 +61,11 @@ def rolling_activity(events: DataFrame, delay: str | None = None) -> DataFrame:
 
 
 def without_repeats(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Each event once, if its copies arrive within ``delay`` of each other."""
-    timed = events.withColumn("_at", F.col("time").cast("timestamp"))
+    """Each event once, if its copies arrive within ``delay`` of each other.
+
+    The clock is that of the micro-batch, not the client's time: no first copy is late, however old it is.
+    """
+    timed = events.withColumn("_at", F.current_timestamp())
     return timed.withWatermark("_at", delay).dropDuplicatesWithinWatermark(["event_id"]).drop("_at")
 
 

@@ -141,14 +141,26 @@ class Workspace:
     def event_log(self, user_id: str, limit: int = 50, offset: int = 0) -> DataFrame:
         return stats.event_log(self._scope(user_id, self.events()), limit, offset)
 
+    def list_tenants(self) -> DataFrame:
+        return tenancy.listing(self.tenants())
+
+    def compact(self) -> int | None:
+        """Rewrite the batches so far in large files; returns the last batch covered."""
+        return self.pipeline().compact()
+
     def list_funnels(self, user_id: str) -> DataFrame:
         return tenancy.funnels_of(self._scope(user_id, self.funnel_rows()))
 
-    def funnel_conversion(self, user_id: str, funnel_id: str) -> DataFrame:
+    def funnel_conversion(
+        self, user_id: str, funnel_id: str, range_key: str | None = None, as_of: datetime | None = None
+    ) -> DataFrame:
+        """Conversion over all events, or over a range, whose days alone are read."""
         definition = self.list_funnels(user_id).where(F.col("id") == funnel_id).first()
         if definition is None:
             raise LookupError("no such funnel")
-        return funnels.conversion(self._scope(user_id, self.events()).rows(), definition["steps"])
+        scope = self._scope(user_id, self.events())
+        events = scope.since(timing.range_start(range_key, as_of)) if range_key else scope.rows()
+        return funnels.conversion(events, definition["steps"])
 
     def live_feed(self, user_id: str) -> DataFrame:
         return live.newest(self._scope(user_id, self.events()).rows())

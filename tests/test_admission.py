@@ -73,8 +73,8 @@ VIOLATIONS = [
     ("nonsense", None),
     ('{"token": "x"', None),
     ("7", None),
-    ("", None),
-    (None, None),
+    ("", "token|eventName|sessionId|url"),
+    (None, "token|eventName|sessionId|url"),
     (body(properties={"a": "x" * 33000}), None),
 ]
 
@@ -163,3 +163,11 @@ def test_page_arguments():
     validation.check_page(200, 10_000)
     with pytest.raises(ValueError):
         validation.check_event_name("  ")
+
+
+def test_missing_and_empty_bodies_read_as_empty_objects(spark):
+    posts = spark.createDataFrame([(1, None), (2, ""), (3, "{}"), (4, " ")], "event_id long, body string")
+    read = validation.parse_bodies(posts).withColumn("violations", validation.payload_violations())
+    found = {r["event_id"]: (r["readable"], r["violations"]) for r in read.collect()}
+    assert found[1] == found[2] == found[3] == (True, "token|eventName|sessionId|url")
+    assert found[4][0] is False

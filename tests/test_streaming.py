@@ -153,3 +153,23 @@ def test_refresh_replaces_touched_days_only(spark, fixtures):
     expected = events.where(~late).unionByName(first_week.where(late))
     columns = ["tenant_id", "hour", "event_name", "count"]
     assert rows(stored.select(columns)) == rows(rollups.hourly_stats(expected).select(columns))
+
+
+def test_old_first_copies_are_kept(spark):
+    path = new_path(spark, "old")
+    schema = "event_id long, time timestamp_ntz, landed int"
+    hours = [[(1, 12)], [(2, 13), (1, 12)], [(3, 9), (2, 13)]]
+    for landed, batch in enumerate(hours):
+        made = [(event, datetime(2024, 1, 1, hour), landed) for event, hour in batch]
+        spark.createDataFrame(made, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    once = stream_rollups.without_repeats(stream)
+    stream_rollups.start_append(once, f"{path}-once", f"{path}-checkpoint").awaitTermination()
+    assert sorted(r["event_id"] for r in spark.read.parquet(f"{path}-once").collect()) == [1, 2, 3]
+
+
+def test_large_compactions_get_more_cuts(spark, fixtures):
+    events = fixtures.stored_events()
+    cut = store.in_store_order(events, 7 * store.FILE_BYTES)
+    assert "REPARTITION_BY_NUM" in cut._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" not in store.in_store_order(events, 1)._jdf.queryExecution().toString()
