@@ -71,7 +71,8 @@ def _all_shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
     out = np.full(n, size, U)
     for k in range(size):
         shifted = np.zeros(n, U)
-        shifted[: n - k] = hashes[k:]
+        if k < n:
+            shifted[: n - k] = hashes[k:]
         out = mix(out * U(0x9E3779B97F4A7C15) + shifted)
     keep = np.ones(n, bool)
     for k in range(1, size):

@@ -321,6 +321,18 @@ def test_ngram_join(docs, texts, monkeypatch, block, paired):
     assert left.columns == docs.columns
 
 
+def test_ngrams_of_a_slice_of_few_words(table):
+    for n in range(1, 5):
+        text = " ".join("abcd"[:n])
+        for size in range(1, 7):
+            alone = list(jaccard.sets_of(pa.array([text]), size))
+            beside = list(jaccard.sets_of(pa.array([text, "x y z x y z x"]), size))
+            assert len(alone[0]) == max(1, n - size + 1) and alone[0].tolist() == beside[0].tolist()
+    long = " ".join(f"w{k % 1000}" for k in range(500_000))  # more than a slice, so the text before it stands alone
+    rows = jaccard.similar_documents(table(["a b", long]).coalesce(1)).collect()
+    assert sorted((r.id, r.n_shingles, r.component_id, r.n_links) for r in rows) == [(0, 1, 0, 0), (1, 1000, 1, 0)]
+
+
 def test_trie_finds_what_comparison_finds():
     rng = random.Random(4)
     sets = []
