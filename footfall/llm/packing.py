@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from footfall.llm.hashing import slices
 from footfall.llm.rows import addressed, row_number
 from footfall.session import stage
 
@@ -42,7 +43,8 @@ class WordEncoder:
     """Ids of texts, word by word, as little-endian 32-bit bytes.
 
     The tokenizer never joins characters across white space, so each word is encoded once and kept
-    in a bounded dictionary. A word of plain Latin letters is exactly one unit of the tokenizer's
+    in a dictionary that is emptied at ``CACHED_WORDS``, but never holds fewer words than the texts at
+    hand. A word of plain Latin letters is exactly one unit of the tokenizer's
     model, which is asked directly; any other word goes through the whole tokenizer.
     """
 
@@ -66,8 +68,6 @@ class WordEncoder:
 
     def _learn(self, new: set[bytes]) -> None:
         known, other = self.known, []
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
         for word in new:
             text = word.decode()
             mark = text[-1] if text[-1] in ".,!?;:" else ""
@@ -90,9 +90,13 @@ class WordEncoder:
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         parts = [(t or b"").split() for t in texts]
         words = set().union(*parts)
-        for _ in range(2):  # again if the dictionary was emptied in between
-            if new := words.difference(self.known):
-                self._learn(new)
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > CACHED_WORDS:
+            # Emptied before anything is learnt: all words of these texts are known at once, however many they are.
+            self.known.clear()
+            new = words
+        if new:
+            self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
@@ -108,8 +112,8 @@ def token_pieces(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
+            for begin, end in slices(batch.column(2)):
+                part = batch.slice(begin, end - begin)
                 texts = part.column(2).cast(pa.large_binary()).to_pylist()
                 out: dict[str, list] = {name: [] for name in ("row", "id", "piece", "start", "length", "ids_crc32", "ids")}
                 for row, ident, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), encoder(texts)):

@@ -116,6 +116,17 @@ def test_packed_documents_come_back(docs, texts):
     assert sorted(128 - sum(n for _, n in rows) for rows in by_sequence.values()) == one_by_one([r.length for rows in by_doc.values() for r in rows], 128)
 
 
+def test_more_words_at_once_than_are_kept(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHED_WORDS", 5)
+    reference, encoder = Tokenizer.from_file(tokenizer_file()), packing.WordEncoder(tokenizer_file())
+    many = " ".join(f"own{k} {'xyz'[k % 3] * (k + 1)}, 0x{k:04x}" for k in range(40))
+    for texts in (["ka lo mi"], ["ka lo", many], [many, "ru"], [None, ""], ["mi te. ka"]):
+        want = [np.array(reference.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert encoder([None if t is None else t.encode() for t in texts]) == want
+
+
 # Mixing
 
 
