@@ -202,6 +202,19 @@ def test_lm_scores(docs, texts, monkeypatch):
         assert abs(r.score - model) <= 0.12 * len(own)  # counts are read back as levels
 
 
+def test_lm_scores_do_not_depend_on_where_the_filter_is(docs, texts, monkeypatch):
+    learnt = F.col("doc_id") % 5 != 0
+    shared = {r.id: r for r in lm.score_documents(docs, learnt).collect()}
+    monkeypatch.setattr(lm, "MOST_FILTER_MB", 0)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 20_000, raising=False)
+    monkeypatch.setattr(lm, "PROBED_BYTES", 1_000, raising=False)
+    joined = {r.id: r for r in lm.score_documents(docs, learnt).collect()}
+    assert set(joined) == set(shared) and len(joined) == len(texts)
+    for i, r in joined.items():
+        assert r[:5] == shared[i][:5] and math.isclose(r.base_score, shared[i].base_score, rel_tol=1e-9)
+        assert math.isclose(r.score, shared[i].score, rel_tol=1e-9)
+
+
 def test_filter_never_forgets():
     keys = lm.mix(np.arange(1, 5001, dtype=np.uint64))
     counts = np.arange(1, 5001) % 40 + 1
