@@ -431,9 +431,10 @@ def _both(links: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.nda
 def similar_documents(
     docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``row, id, n_shingles, component_id, n_links`` of every row.
+    """``row, id, root, n_shingles, component_id, n_links`` of every row.
 
-    ``n_links`` counts the other distinct sets that are similar enough; rows with an equal set are linked as well
+    ``root`` tells components apart, whatever the ids: the signature of one set in each (rows without n-grams
+    are components of their own and share a root that means nothing). ``n_links`` counts the other distinct sets that are similar enough; rows with an equal set are linked as well
     and not counted. ``component_id`` is the smallest id that links lead to.
     """
     spark = docs.sparkSession
@@ -485,7 +486,7 @@ def similar_documents(
     return (
         own.join(lowest, "root", "left").join(counted, "sig", "left")
         .select(
-            "row", "id", F.col("n").alias("n_shingles"),
+            "row", "id", "root", F.col("n").alias("n_shingles"),
             F.when(F.col("n") > 0, F.coalesce("lowest", "id")).otherwise(F.col("id")).alias("component_id"),
             F.when(F.col("n") > 0, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
         )
@@ -502,11 +503,9 @@ def _numbered(placed: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` with one document of each component: the smallest id, then any one of its rows."""
     docs = addressed(docs)
-    found = similar_documents(docs, id_col=id_col, **options)
-    repeated = found.groupBy("component_id").agg(
+    found = similar_documents(docs, id_col=id_col, **options).filter("n_shingles > 0").select("row", "id", "root")
+    repeated = found.groupBy("root").agg(
         F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("keep"), F.count("*").alias("n")
-    ).filter("n > 1 AND component_id IS NOT NULL")
-    dropped = stage(
-        found.filter("n_shingles > 0").join(repeated, "component_id").filter("row <> keep.row").select("row"), "jaccard-dropped"
-    )
+    ).filter("n > 1")
+    dropped = stage(found.join(repeated, "root").filter("row <> keep.row").select("row"), "jaccard-dropped")
     return without(docs, dropped)

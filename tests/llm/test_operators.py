@@ -345,6 +345,18 @@ def test_ngram_join(docs, texts, monkeypatch, block, paired):
     assert left.columns == docs.columns
 
 
+def test_first_of_each_goes_by_texts_not_ids(table):
+    group = lambda name: [" ".join([*(f"{name}{k}" for k in range(40)), end]) for end in ("x", "y", "z")]
+    a, b, c, d = map(group, "abcd")
+    texts = [*a, *b, *c, d[0], "", None, "", "alone"]
+    ids = [1, 5, 6, 1, 7, None, None, None, None, 1, 1, 1, None, None]
+    left = jaccard.first_of_each(table(texts, ids)).collect()
+    kept = [(r.doc_id, r.text) for r in left if (r.text or "")[:1] not in ("", "c")]
+    assert sorted(kept, key=lambda k: k[1]) == [(1, a[0]), (None, "alone"), (1, b[0]), (1, d[0])]
+    assert [r.text in c for r in left].count(True) == 1
+    assert sorted(repr((r.doc_id, r.text)) for r in left if not r.text) == ["(1, '')", "(1, None)", "(None, '')"]
+
+
 def test_ngrams_of_a_slice_of_few_words(table):
     for n in range(1, 5):
         text = " ".join("abcd"[:n])
