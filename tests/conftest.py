@@ -7,9 +7,6 @@ ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 sys.path.insert(0, str(ROOT / "tests"))
 
-SMALL = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(scope="session")
 def spark():
     from footfall.session import build_session
@@ -30,6 +27,7 @@ def spark():
 
 @pytest.fixture(scope="session")
 def fixtures(spark):
+    from compare import SMALL
     from footfall.sources.fixtures import Fixtures
 
     return Fixtures(spark, SMALL)

@@ -3,8 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
-from compare import connect, difference
-from conftest import SMALL
+from compare import SMALL, connect, difference
 
 
 @pytest.fixture(scope="module")
