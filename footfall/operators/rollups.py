@@ -12,6 +12,7 @@ from footfall.operators.lookup import sized
 from footfall.operators.scope import TenantScope
 
 PAGE_EVENT = "pageview"
+SESSION_PARTS = 16
 
 
 def hourly_stats(events: DataFrame) -> DataFrame:
@@ -90,6 +91,52 @@ def timeseries_from_hours(
     )
 
 
+def numbered_sessions(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``tenant_id, session_id, part, number`` of every session in ``events`` or ``known``; known ones keep their number.
+
+    Numbers are dense within a tenant and part, so bitmaps over them are short, and new ones go on after the last.
+    A tenant's sessions are dealt over ``SESSION_PARTS`` parts by hash, so no task numbers all of a large tenant.
+    """
+    part = F.pmod(F.xxhash64("session_id"), F.lit(SESSION_PARTS)).cast("int")
+    found = events.where(F.col("session_id").isNotNull()).select("tenant_id", "session_id").distinct().withColumn("part", part)
+    in_part = Window.partitionBy("tenant_id", "part").orderBy("session_id")
+    if known is None:
+        return found.withColumn("number", F.row_number().over(in_part).cast("long") - 1)
+    new = found.join(known.select("tenant_id", "session_id"), ["tenant_id", "session_id"], "left_anti")
+    last = known.groupBy("tenant_id", "part").agg(F.max("number").alias("last"))
+    numbered = new.withColumn("nth", F.row_number().over(in_part)).join(last, ["tenant_id", "part"], "left")
+    number = F.coalesce("last", F.lit(-1).cast("long")) + F.col("nth")
+    return known.unionByName(numbered.select("tenant_id", "session_id", "part", number.alias("number")))
+
+
+def hourly_sessions(events: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``tenant_id, hour, part, bucket, seen, events``: events, and which sessions were seen, as bitmaps of their numbers.
+
+    Bitmaps can be merged over any hours, which counts of sessions cannot. Events are counted per session and hour before they meet the
+    numbers. Those without a session are counted in part -1, whose bitmap is empty.
+    """
+    hour = timing.bucket("hour", F.col("time")).alias("hour")
+    counted = events.groupBy("tenant_id", "session_id", hour).agg(F.count("*").alias("n"))
+    met = counted.join(sessions, ["tenant_id", "session_id"], "left")
+    return met.groupBy(
+        "tenant_id", "hour", F.coalesce("part", F.lit(-1)).alias("part"),
+        F.coalesce(F.bitmap_bucket_number("number"), F.lit(0).cast("long")).alias("bucket"),
+    ).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("seen"), F.sum("n").alias("events"))
+
+
+def summary_from_hours(
+    hours: DataFrame, tenant_id: str | None, range_key: str = "7d", as_of: datetime | None = None
+) -> DataFrame:
+    """Total events and unique sessions served from ``hourly_sessions``; the range starts at a full hour."""
+    start = timing.range_start(range_key, as_of).replace(minute=0, second=0, microsecond=0)
+    rows = TenantScope(hours.withColumnRenamed("hour", "time"), tenant_id).since(start)
+    merged = rows.groupBy("part", "bucket").agg(F.bitmap_or_agg("seen").alias("seen"), F.sum("events").alias("events"))
+    none = F.lit(0).cast("long")
+    return merged.agg(
+        F.coalesce(F.sum("events"), none).alias("total_events"), F.coalesce(F.sum(F.bitmap_count("seen")), none).alias("unique_sessions")
+    )
+
+
 def touched_days(new_events: DataFrame) -> DataFrame:
     """Days whose stored rollups the new events make out of date."""
     return new_events.select(F.to_date("time").alias("event_date")).distinct()

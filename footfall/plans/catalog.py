@@ -12,22 +12,28 @@ from footfall import schemas
 from footfall.functions import events as event_functions
 from footfall.functions import net, text, timing, useragent
 from footfall.operators import (
-    admission, enrichment, funnels, live, quality, ratelimit, rollups, stats, tenancy, validation,
+    admission, batching, enrichment, freshness, funnels, live, quality, ratelimit, rollups, stats, tenancy, validation,
 )
 from footfall.operators.lookup import lookup
 from footfall.operators.scope import TenantScope
 from footfall.session import configure, new_path, stage
 from footfall.sources import store
-from footfall.sources.fixtures import AS_OF, CLICKED, FUNNEL_STEPS, GONE, HOT_TENANT, Fixtures
+from footfall.sources.fixtures import AS_OF, CLICKED, FUNNEL_STEPS, GONE, HOT_TENANT, JOB_FAILS, Fixtures
+from footfall.streaming import activity as stream_activities
+from footfall.streaming import batches as stream_batching
 from footfall.streaming import limiter as stream_limiter
 from footfall.streaming import live as stream_live
 from footfall.streaming import rollups as stream_rollups
 from footfall.streaming.ingest import IngestPipeline
+from footfall.streaming.retries import RetryQueue
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # The default limit never strikes on this sparse data.
 LIMIT = ratelimit.Limit(max_events=10, window_seconds=6 * 3600)
+# For the same reason batches wait, and tenants are kept, for hours.
+BATCHING = batching.Batching(size=50, wait_ms=4 * 3600 * 1000)
+TTL = timedelta(hours=6)
 OTHER_TENANT = "00000000-0000-4000-8000-000000000002"
 OWNER = "20000000-0000-4000-8000-000000000003"
 
@@ -142,6 +148,23 @@ def rate_limit(f: Fixtures) -> DataFrame:
     return ratelimit.rate_limit(f.arrivals(), LIMIT)
 
 
+@query
+def ingest_batches(f: Fixtures) -> DataFrame:
+    return batching.batches(f.arrivals(), BATCHING).drop("queue")
+
+
+@query
+def ingest_batches_by_worker(f: Fixtures) -> DataFrame:
+    # One worker takes every other arrival, three share the rest.
+    worker = F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("event_id") % 3 + 1)
+    return batching.batches(f.arrivals().withColumn("worker", worker), BATCHING, "worker", block=256)
+
+
+@query
+def tenant_resolve_asof(f: Fixtures) -> DataFrame:
+    return freshness.resolve_as_of(f.arrivals(), f.tenant_versions(), TTL)
+
+
 def _outcomes(f: Fixtures) -> DataFrame:
     return admission.admit(f.raw_posts(), f.tenants(), LIMIT)
 
@@ -290,6 +313,17 @@ def timeseries_from_rollup(f: Fixtures) -> DataFrame:
     return rollups.timeseries_from_hours(hours, HOT_TENANT, "30d", "pageview", AS_OF)
 
 
+@query
+def overview_from_rollup(f: Fixtures) -> DataFrame:
+    # The second half of the month comes later: sessions known by then keep their numbers.
+    events = f.plain_events()
+    early = events.where(F.col("time") < F.lit("2024-01-16 12:00:00").cast("timestamp_ntz"))
+    known = stage(rollups.numbered_sessions(early), "sessions")
+    numbered = stage(rollups.numbered_sessions(events, known), "sessions")
+    hours = stage(rollups.hourly_sessions(events, numbered), "hours")
+    return rollups.summary_from_hours(hours, HOT_TENANT, "7d", AS_OF)
+
+
 @query
 def rollup_reconcile(f: Fixtures) -> DataFrame:
     # Late events touch a third of the days. Stored counts are off by a thousand, so kept rows can be told
@@ -556,7 +590,45 @@ def stream_sessions(f: Fixtures) -> DataFrame:
 
 @query
 def stream_activity(f: Fixtures) -> DataFrame:
-    return _complete(f, stream_rollups.rolling_activity(_event_stream(f)), "activity")
+    path = new_path(f.spark, "activity")
+    changes = stream_activities.activity_changes(_event_stream(f))
+    with stream_limiter.state_store(f.spark):
+        stream_activities.start_activity(changes, path, f"{path}-checkpoint").awaitTermination()
+    return stream_activities.read_activity(f.spark, path)
+
+
+@query
+def stream_batches(f: Fixtures) -> DataFrame:
+    path = new_path(f.spark, "batches")
+    arrivals = f.arrivals().select("event_id", "arrived_at")
+    closing = arrivals.agg((F.max("arrived_at") + F.make_dt_interval(days=F.lit(1))).alias("arrived_at"))
+    arrivals = arrivals.unionByName(closing.select(F.lit(None).cast("long").alias("event_id"), "arrived_at"))
+    batched = stream_batching.batched(_stream_of(f, arrivals, "arrived_at", "arrivals"), BATCHING)
+    with stream_limiter.state_store(f.spark):
+        stream_rollups.start_append(batched, path, f"{path}-checkpoint").awaitTermination()
+    stored = f.spark.read.schema(batched.schema).parquet(path)
+    return stored.select("number", "first_event", "first_time", "size")
+
+
+@query
+def stream_fanout(f: Fixtures) -> DataFrame:
+    path = new_path(f.spark, "fanout")
+    events = _event_stream(f).select("tenant_id", "event_id", "time", "event_name")
+    visits = _stream_of(f, f.room_visits(), "joined_at", "visits")
+    sent = stream_live.fan_out_stream(events, visits, delay="11 days")
+    with stream_limiter.state_store(f.spark):
+        stream_rollups.start_append(sent, path, f"{path}-checkpoint").awaitTermination()
+    return f.spark.read.schema(sent.schema).parquet(path)
+
+
+@query
+def retry_outcomes(f: Fixtures) -> DataFrame:
+    root = new_path(f.spark, "retries")
+    queue = RetryQueue(f.spark, root, lambda jobs: jobs.withColumn("failed", F.expr(JOB_FAILS)))
+    jobs = _stream_of(f, f.arrivals().select("event_id", "arrived_at"), "arrived_at", "jobs")
+    queue.start(jobs, f"{root}/checkpoint").awaitTermination()
+    queue.finish()
+    return queue.outcomes().select("event_id", "attempts", "status", "finished_at")
 
 
 @query

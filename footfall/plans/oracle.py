@@ -25,6 +25,8 @@ SETUP = fx.duckdb_text(fx.setup_requests(fx.DUCKDB))
 DOMAINS = fx.duckdb_text(fx.domain_requests(fx.DUCKDB))
 FUNNELS = fx.duckdb_text(fx.funnel_requests(fx.DUCKDB))
 SUBSCRIPTIONS = fx.duckdb_text(fx.SUBSCRIPTIONS)
+VERSIONS = fx.duckdb_text(fx.tenant_versions(fx.DUCKDB))
+VISITS = fx.duckdb_text(fx.room_visits(fx.DUCKDB))
 CLICKED = fx.duckdb_text(fx.CLICKED)
 GONE = fx.duckdb_text(fx.GONE)
 
@@ -195,6 +197,64 @@ SELECT event_id, arrived_at, tenant_id, event_name, properties, session_id, url,
 FROM outcomes WHERE status = 200"""
 
 
+BATCH_SIZE, BATCH_WAIT_MS, TTL_MS = 50, 4 * 3600 * 1000, 6 * 3600 * 1000
+
+
+def _batches(queue: str) -> str:
+    """Batches one after another: the next one begins where the one before it ends."""
+    return f"""
+WITH RECURSIVE placed AS (
+  SELECT queue, event_id, ms, row_number() OVER (PARTITION BY queue ORDER BY ms, event_id) AS place,
+    count(*) OVER (PARTITION BY queue ORDER BY ms RANGE BETWEEN UNBOUNDED PRECEDING AND {BATCH_WAIT_MS} FOLLOWING) AS last
+  FROM (SELECT {queue} AS queue, event_id, epoch_us(arrived_at) // 1000 AS ms FROM ({ARRIVALS}))
+),
+bounded AS (SELECT *, least(place + {BATCH_SIZE}, last + 1) AS following FROM placed),
+batch AS (
+  SELECT *, cast(0 AS bigint) AS number FROM bounded WHERE place = 1
+  UNION ALL
+  SELECT r.*, b.number + 1 FROM batch b JOIN bounded r ON r.queue = b.queue AND r.place = b.following
+)
+SELECT queue, number, event_id AS first_event, make_timestamp(ms * 1000) AS first_time, following - place AS size FROM batch"""
+
+
+RESOLVE_AS_OF = f"""
+WITH RECURSIVE versions AS (
+  SELECT token, id, epoch_us(changed_at) // 1000 AS ms, max(version) AS version FROM ({VERSIONS}) GROUP BY ALL
+),
+arrived AS (SELECT event_id, token, epoch_us(arrived_at) // 1000 AS ms FROM ({ARRIVALS})),
+moment AS (
+  SELECT DISTINCT a.token, a.ms FROM arrived a JOIN (SELECT token, min(ms) AS since FROM versions GROUP BY 1) s ON s.token = a.token
+  WHERE a.ms >= s.since
+),
+later AS (
+  SELECT token, ms, min(ms) OVER (PARTITION BY token ORDER BY ms RANGE BETWEEN {TTL_MS} FOLLOWING AND UNBOUNDED FOLLOWING) AS following
+  FROM moment
+),
+loaded AS (
+  SELECT token, min(ms) AS ms FROM moment GROUP BY 1
+  UNION ALL
+  SELECT l.token, n.following FROM loaded l JOIN later n ON n.token = l.token AND n.ms = l.ms
+),
+seen AS (
+  SELECT l.token, l.ms, v.id, v.version FROM loaded l ASOF JOIN versions v ON v.token = l.token AND l.ms >= v.ms
+)
+SELECT a.event_id, a.token, s.id AS tenant_id, s.version, make_timestamp(s.ms * 1000) AS loaded_at
+FROM arrived a ASOF LEFT JOIN seen s ON s.token = a.token AND a.ms >= s.ms"""
+
+# Five-minute slots, of which a window has six.
+ACTIVITY = f"""
+SELECT tenant_id, make_timestamp(until * 300000000) AS until, count(*) AS events, count(DISTINCT session_id) AS sessions
+FROM (SELECT *, epoch_us(time) // 300000000 + unnest(range(1, 7)) AS until FROM ({PLAIN})) GROUP BY 1, 2"""
+
+RETRIED = f"""
+SELECT event_id, CASE WHEN NOT one THEN 1 WHEN NOT two THEN 2 ELSE 3 END AS attempts,
+  CASE WHEN one AND two AND three THEN 'dead' ELSE 'done' END AS status,
+  arrived_at + to_seconds(CASE WHEN NOT one THEN 0 WHEN NOT two THEN 1 ELSE 3 END) AS finished_at
+FROM (
+  SELECT event_id, date_trunc('millisecond', arrived_at) AS arrived_at, {{}} FROM ({ARRIVALS})
+)""".format(", ".join(f"{fx.JOB_FAILS.replace('attempt', str(n))} AS {name}" for n, name in ((1, "one"), (2, "two"), (3, "three"))))
+
+
 def _range(days: int) -> str:
     return f"tenant_id = '{T0}' AND time >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL {days} DAY"
 
@@ -465,7 +525,17 @@ FROM accepted""",
         "stream_hourly": HOURS,
         "stream_sessions": gap,
         "stream_live_feed": feed,
+        "ingest_batches": f"SELECT number, first_event, first_time, size FROM ({_batches("''")})",
+        "ingest_batches_by_worker": _batches("cast(CASE WHEN event_id % 2 = 0 THEN 0 ELSE event_id % 3 + 1 END AS varchar)"),
+        "tenant_resolve_asof": RESOLVE_AS_OF,
+        "stream_activity": ACTIVITY,
+        "stream_fanout": f"""
+SELECT s.subscriber_id, e.tenant_id, e.event_id, e.time, e.event_name
+FROM ({PLAIN}) e JOIN ({VISITS}) s ON s.tenant_id = e.tenant_id AND e.time >= s.joined_at AND e.time < s.left_at""",
+        "retry_outcomes": RETRIED,
     }
+    sql["stream_batches"] = sql["ingest_batches"]
+    sql["overview_from_rollup"] = sql["overview_summary"]
     sql["stream_realtime"] = sql["realtime"]
     return sql
 

@@ -21,12 +21,14 @@ SPARK = {
     "days_after": "(timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast({0} as int)))",
     "array": "array({0})",
     "strings": "cast(array() as array<string>)",
+    "at_second": "timestampadd(SECOND, cast({0} as int), timestamp_ntz'2024-01-01 00:00:00')",
 }
 DUCKDB = {
     "iso": "strftime({0}, '%Y-%m-%dT%H:%M:%S.%g')",
     "days_after": "(timestamp '2024-01-01 00:00:00' + to_days(cast({0} as integer)))",
     "array": "[{0}]",
     "strings": "cast([] as varchar[])",
+    "at_second": "(timestamp '2024-01-01 00:00:00' + to_seconds({0}))",
 }
 
 # Six kinds of agent, and the class each belongs to.
@@ -222,6 +224,28 @@ SUBSCRIPTIONS = f"""
 SELECT c.c_custkey AS subscriber_id, {_uuid('00000000', f'c.c_custkey % {TENANTS_COUNT}')} AS tenant_id
 FROM {{customer}} c"""
 
+# Jobs of the enrichment; three of ten attempts fail.
+JOB_FAILS = "(event_id * 7919 + attempt * 104729) % 10 < 3"
+
+
+def tenant_versions(dialect: dict[str, str]) -> str:
+    """The tenant log with the time of each version: version 0 as the tenant was made, others all over the month."""
+    return f"""
+    SELECT v.id, v.token, v.version,
+      CASE WHEN v.version = 0 THEN v.created_at ELSE {dialect['at_second'].format('(v.version * 7919) % 2592000')} END AS changed_at
+    FROM ({tenant_log(dialect)}) v"""
+
+
+def room_visits(dialect: dict[str, str]) -> str:
+    """When customers watch their tenant: one visit each, of up to 20 hours."""
+    joined = "(c.c_custkey * 7001) % 2500000"
+    return f"""
+    SELECT c.c_custkey AS subscriber_id, {_uuid('00000000', f'c.c_custkey % {TENANTS_COUNT}')} AS tenant_id,
+      {dialect['at_second'].format(joined)} AS joined_at,
+      {dialect['at_second'].format(f'{joined} + (c.c_custkey % 20) * 3600 + c.c_custkey % 61')} AS left_at
+    FROM {{customer}} c"""
+
+
 TABLES = ("events", "pages", "supplier", "customer", "orders", "documents")
 
 
@@ -274,6 +298,12 @@ class Fixtures:
     def tenant_log(self) -> DataFrame:
         return self.sql(tenant_log(SPARK))
 
+    def tenant_versions(self) -> DataFrame:
+        return self.sql(tenant_versions(SPARK))
+
+    def room_visits(self) -> DataFrame:
+        return self.sql(room_visits(SPARK))
+
     def setup_requests(self) -> DataFrame:
         return self.sql(setup_requests(SPARK))
 

@@ -1,11 +1,11 @@
-"""Live feed and realtime numbers refreshed by each micro-batch of stored events."""
+"""Live feed, rooms and realtime numbers as events are stored."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from footfall.operators import live, stats
@@ -47,3 +47,35 @@ def refresh_realtime(
     """Exact realtime numbers of a tenant from the stored events, as the table's next version."""
     numbers = stats.realtime(TenantScope(events, tenant_id), as_of)
     numbers.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+
+
+def fan_out_stream(
+    events: DataFrame, subscriptions: DataFrame, delay: str = "1 hour", salts: int = 8
+) -> DataFrame:
+    """Which subscriber gets which event: those in the tenant's room at the time the event was stored.
+
+    ``events`` is a stream of tenant_id, event_id, time and any other columns, ``subscriptions`` one of subscriber_id, tenant_id,
+    joined_at and left_at (not in the room any more). Either may come first, and up to ``delay`` late. Subscriptions are cut at full
+    hours, so rows meet by tenant and hour, and a piece's state goes once its hour is ``delay`` past. The events of a tenant
+    and hour are dealt over ``salts`` parts, each of which holds the pieces of that hour once.
+    """
+    hour = lambda at: F.date_trunc("hour", at)
+    timed = events.withColumns({
+        "at": F.col("time").cast("timestamp"), "hour": hour(F.col("time").cast("timestamp")),
+        "part": F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int"),
+    }).withWatermark("at", delay)
+    begin, end = (F.col(name).cast("timestamp") for name in ("joined_at", "left_at"))
+    hours = F.sequence(hour(begin), hour(end), F.expr("interval 1 hour"))
+    pieces = (
+        subscriptions.where(begin < end)
+        .select("subscriber_id", F.col("tenant_id").alias("room_tenant"), begin.alias("begin"), end.alias("end"), F.explode(hours).alias("piece"))
+        .withColumn("from_at", F.greatest("begin", "piece"))
+        .withColumn("room_part", F.explode(F.array(*map(F.lit, range(salts)))))
+        .withWatermark("from_at", delay)
+    )
+    met = (
+        (F.col("tenant_id") == F.col("room_tenant")) & (F.col("hour") == F.col("piece")) & (F.col("part") == F.col("room_part"))
+        & (F.col("at") >= F.col("from_at")) & (F.col("at") < F.col("end"))
+        & (F.col("at") < F.col("from_at") + F.expr("interval 1 hour"))  # within the hour; lets Spark clear the state
+    )
+    return timed.join(pieces, met).select("subscriber_id", *events.columns)

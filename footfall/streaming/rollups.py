@@ -50,16 +50,6 @@ def sessions(
     )
 
 
-def rolling_activity(events: DataFrame, delay: str | None = None) -> DataFrame:
-    """Events and, approximately, sessions per half hour, every five minutes."""
-    return (
-        _with_delay(events, delay)
-        .groupBy("tenant_id", F.window("time", "30 minutes", "5 minutes").alias("span"))
-        .agg(F.count("*").alias("events"), F.approx_count_distinct("session_id").alias("sessions"))
-        .select("tenant_id", _plain("span.end").alias("until"), "events", "sessions")
-    )
-
-
 def without_repeats(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Each event once, if its copies arrive within ``delay`` of each other.
 
