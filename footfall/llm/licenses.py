@@ -1,17 +1,22 @@
 """License scans by diagonal voting.
 
-Every pair of neighbouring words of a text is hashed and joined to the places of the same pair in the
-templates (a fixed table of some hundred rows, broadcast); the words themselves must agree too. Matches of
-one occurrence lie on one diagonal, text place minus template place, so they are counted per diagonal.
-Diagonals next to each other (words put in or left out) are merged, and a span counts as found if it covers
-enough of the template: all of it, on one diagonal, for the phrases in ``PHRASES``, ``COVERED`` of its pairs within
-the merged diagonals for the sentences in ``SENTENCES``.
+Every run of ``k`` words of a text is hashed and joined to the places of the same run in the templates (a fixed table, broadcast once its size
+is counted); the words themselves must agree too. Matches of one occurrence lie on one diagonal, text place minus template place, or, where
+words are put in or left out, on diagonals next to each other. So matches are counted per diagonal, and neighbouring
+diagonals (``NEAR`` to either side) are merged. Where their votes could cover a template, the span is verified: the matches of the merged
+diagonals are put in the order of the text, and only a chain of them that also rises in the template counts. Its length is the number of
+different template places, in order, that the span holds; repeating a part of a template does not add to it.
+
+A phrase (``PHRASES``) must stand word for word, which is all of its places on one diagonal. Sentences (word pairs) and paragraphs (runs of
+``PARAGRAPH_WORDS`` words) must be covered by ``COVERED`` of their places.
 
 Only matches are shuffled. A text that holds one phrase a million times gives a million diagonals of its own; they
-are counted per task before the shuffle and never collected.
+are counted per task before the shuffle, and a span is verified from the matches of ``2 * NEAR + 1`` diagonals, at most that many
+times the length of the template.
 
-Defined cases: a null or empty text has no words, no labels and the score 0; repeated rows are scanned each; labels are
-distinct and sorted; an empty table gives no rows; other columns are not read.
+Defined cases: a null or empty text has no words, no labels and the score 0; only A-Z is folded, other letters are words' parts as they are;
+repeated rows are scanned each; two templates that cover the same words are both found; coverage of exactly ``COVERED`` is
+enough; labels are distinct and sorted; a very long text is scanned whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from footfall.llm.rows import addressed, row_number
+from footfall.operators.lookup import sized
 from footfall.session import stage
 
 #: Phrases that must stand word for word, and their labels.
@@ -42,64 +48,127 @@ SENTENCES = {
     "licensed under a creative commons attribution": "creative-commons",
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
+#: Paragraphs of license texts, and their labels.
+PARAGRAPHS = {
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+    "\"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+    "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
+    "the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions "
+    "of the Software.": "mit",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+    "met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution.": "bsd",
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may "
+    "obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+    "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or "
+    "implied. See the License for the specific language governing permissions and limitations under the License.": "apache-2.0",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+    "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the "
+    "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+    "PURPOSE. See the GNU General Public License for more details.": "gpl-3.0",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+    "above copyright notice and this permission notice appear in all copies.": "isc",
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+    "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+    "means.": "unlicense",
+}
+PARAGRAPH_WORDS = 4
 COVERED = 0.8
 NEAR = 3
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAKS), "")
+    text = F.coalesce(text, F.lit(""))
+    # For plain ASCII, lower() is the same and much faster.
+    folded = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    return F.array_remove(F.split(folded, BREAKS), "")
 
 
-def templates(spark: SparkSession, phrases: dict[str, str], sentences: dict[str, str]) -> DataFrame:
-    """One row per word pair of each template."""
+def templates(spark: SparkSession, phrases: dict[str, str], sentences: dict[str, str], paragraphs: dict[str, str]) -> DataFrame:
+    """One row per run of ``k`` words of each template."""
+    kinds = [(phrases, True, 2), (sentences, False, 2), (paragraphs, False, PARAGRAPH_WORDS)]
+    listed = [(text, label, exact, k) for texts, exact, k in kinds for text, label in texts.items()]
     rows = []
-    for number, (text, label, exact) in enumerate([(t, v, True) for t, v in phrases.items()] + [(t, v, False) for t, v in sentences.items()]):
-        words = re.sub(BREAKS, " ", text.lower()).split()
-        rows += [(number, label, exact, len(words) - 1, at, one, two) for at, (one, two) in enumerate(zip(words, words[1:]))]
-    schema = "template int, label string, exact boolean, pairs int, at int, first string, second string"
-    return spark.createDataFrame(rows, schema).withColumn("gram", F.xxhash64("first", "second"))
-
-
-def matches(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """``row, template, diagonal, at`` for each word pair that a template has."""
-    words = docs.select("row", words_of(F.col("text")).alias("words")).filter(F.size("words") > 1)
-    pairs = words.select("row", F.posexplode(F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, 2147483647).alias("b"))).alias("pos", "p"))
-    pairs = pairs.select("row", "pos", F.col("p.a").alias("a"), F.col("p.b").alias("b")).filter("b IS NOT NULL")
-    hashed = pairs.withColumn("gram", F.xxhash64("a", "b"))
-    same = (hashed.gram == known.gram) & (hashed.a == known["first"]) & (hashed.b == known["second"])
-    return hashed.join(F.broadcast(known), same).select(
-        "row", "template", "label", "exact", "pairs", "at", "pos", (F.col("pos") - F.col("at")).alias("diagonal")
+    for number, (text, label, exact, k) in enumerate(listed):
+        words = re.sub(BREAKS, " ", text.translate(str.maketrans(_UPPER, _LOWER))).split()
+        if len(words) < k:
+            raise ValueError(f"a template of fewer than {k} words: {text!r}")
+        runs = [words[at : at + k] for at in range(len(words) - k + 1)]
+        rows += [(number, label, exact, k, len(runs), at, run) for at, run in enumerate(runs)]
+    schema = "template int, label string, exact boolean, k int, places int, at int, run array<string>"
+    return spark.createDataFrame(rows, schema).withColumn("gram", F.xxhash64("run"))
+
+
+def matches(docs: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """``row, template, label, exact, k, places, at, pos, diagonal`` for each run of ``k`` words that a template has."""
+    words = docs.select("row", words_of(F.col("text")).alias("words")).filter(F.size("words") >= k)
+    shifted = F.arrays_zip(*(F.slice("words", n + 1, 2147483647).alias(f"w{n}") for n in range(k)))
+    runs = words.select("row", F.posexplode(shifted).alias("pos", "p")).filter(F.col("p")[f"w{k - 1}"].isNotNull())
+    hashed = runs.select("row", "pos", F.array(*(F.col("p")[f"w{n}"] for n in range(k))).alias("run"))
+    known = sized(known.filter(F.col("k") == k).withColumnRenamed("run", "own"))
+    return hashed.withColumn("gram", F.xxhash64("run")).join(known, "gram").filter(F.col("run") == F.col("own")).select(
+        "row", "template", "label", "exact", "k", "places", "at", "pos", (F.col("pos") - F.col("at")).alias("diagonal")
     )
 
 
+def longest_rise(steps: Column) -> Column:
+    """``length, start, end`` of a longest chain of steps (pos, minus at; sorted) that rises in both."""
+    tail = "struct<at: int, start: int>"
+    start = F.struct(
+        F.array().cast(f"array<{tail}>").alias("tails"), F.lit(0).alias("length"), F.lit(0).alias("start"), F.lit(0).alias("end")
+    )
+
+    def step(state: Column, match: Column) -> Column:
+        at = -match["falling"]
+        tails = state["tails"]
+        lower = F.size(F.filter(tails, lambda t: t["at"] < at))
+        begin = F.when(lower == 0, match["pos"]).otherwise(F.get(tails, lower - 1)["start"])
+        own = F.struct(at.cast("int").alias("at"), begin.cast("int").alias("start"))
+        longer = lower + 1 > state["length"]
+        return F.struct(
+            F.concat(F.slice(tails, 1, lower), F.array(own), F.slice(tails, lower + 2, F.size(tails) + 1)).alias("tails"),
+            F.greatest(state["length"], lower + 1).alias("length"),
+            F.when(longer, begin).otherwise(state["start"]).cast("int").alias("start"),
+            F.when(longer, match["pos"]).otherwise(state["end"]).cast("int").alias("end"),
+        )
+
+    return F.aggregate(steps, start, step)
+
+
 def spans(found: DataFrame) -> DataFrame:
-    """``row, label, exact, start, end, coverage``: spans that cover enough of a template."""
-    votes = found.groupBy("row", "template", "label", "exact", "pairs", "diagonal").agg(
-        F.count("*").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high")
+    """``row, template, label, exact, start, end, coverage``: spans that cover enough of a template."""
+    kind = ["row", "template", "label", "exact", "k", "places"]
+    votes = found.groupBy(*kind, "diagonal").agg(F.count("*").alias("votes"), F.max("pos").alias("high"))
+    shown = ["row", "template", "label", "exact"]
+    whole = votes.filter("exact AND votes = places").select(
+        *shown, F.col("diagonal").alias("start"), (F.col("high") + F.col("k")).alias("end"), F.lit(1.0).alias("coverage")
     )
-    whole = votes.filter("exact AND votes = pairs").select(
-        "row", "label", "exact", F.col("diagonal").alias("start"), (F.col("high") + 1).alias("end"), F.lit(1.0).alias("coverage")
+    beside = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(-NEAR, NEAR)
+    enough = F.sum("votes").over(beside) >= COVERED * F.col("places")
+    merged = votes.filter("NOT exact").withColumn("enough", enough).filter("enough").select(
+        "row", "template", F.col("diagonal").alias("main"), F.explode(F.sequence(F.col("diagonal") - NEAR, F.col("diagonal") + NEAR)).alias("diagonal")
     )
-    along = Window.partitionBy("row", "template").orderBy("diagonal")
-    apart = (F.col("diagonal") - F.coalesce(F.lag("diagonal").over(along), F.lit(-1000000))) > NEAR
-    merged = votes.filter("NOT exact").withColumn("part", F.sum(apart.cast("int")).over(along))
-    merged = merged.groupBy("row", "template", "label", "exact", "pairs", "part").agg(
-        F.sum("votes").alias("votes"), F.min("low").alias("start"), (F.max("high") + 1).alias("end")
+    steps = F.sort_array(F.collect_list(F.struct("pos", (-F.col("at")).alias("falling"))))
+    chains = found.filter("NOT exact").join(merged, ["row", "template", "diagonal"]).groupBy(*kind, "main").agg(steps.alias("steps"))
+    chains = chains.withColumn("chain", longest_rise(F.col("steps"))).withColumn("coverage", F.col("chain.length") / F.col("places"))
+    verified = chains.filter(F.col("coverage") >= COVERED).select(
+        *shown, F.col("chain.start").alias("start"), (F.col("chain.end") + F.col("k")).alias("end"), "coverage"
     )
-    # More votes than pairs mean a repetition; the span must also be about as long as the template.
-    coverage = F.least(F.lit(1.0), F.col("votes") / F.col("pairs"))
-    fits = (coverage >= COVERED) & (F.col("end") - F.col("start") <= F.col("pairs") + 2 * NEAR)
-    return whole.unionByName(merged.filter(fits).select("row", "label", "exact", "start", "end", coverage.alias("coverage")))
+    return whole.unionByName(verified.groupBy(*shown, "start", "end").agg(F.max("coverage").alias("coverage")))
 
 
 def scan_licenses(
-    docs: DataFrame, phrases: dict[str, str] = PHRASES, sentences: dict[str, str] = SENTENCES,
+    docs: DataFrame, phrases: dict[str, str] = PHRASES, sentences: dict[str, str] = SENTENCES, paragraphs: dict[str, str] = PARAGRAPHS,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> tuple[DataFrame, DataFrame]:
     """Spans as in ``spans``, and per row ``id, n_words, n_base, first_word, last_word, base_labels, labels, score``."""
     docs = addressed(docs).select(row_number().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = stage(spans(matches(docs, templates(docs.sparkSession, phrases, sentences))), "license-spans")
+    known = templates(docs.sparkSession, phrases, sentences, paragraphs)
+    met = [matches(docs, known, k) for k in (2, PARAGRAPH_WORDS)]
+    found = stage(spans(stage(met[0].unionByName(met[1]), "license-matches")), "license-spans")
     base = F.col("exact")
     by_row = found.groupBy("row").agg(
         F.count(F.when(base, 1)).alias("n_base"),

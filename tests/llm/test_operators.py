@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -444,22 +445,61 @@ def test_urls(spark):
 # Licenses
 
 
-def test_licenses(docs, texts):
-    import re
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-    spans, per_row = licenses.scan_licenses(docs)
-    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+def license_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
+
+
+def rising(pairs):
+    """Length of a longest chain of (pos, at) that rises in both."""
+    best = {}
+    for pos, at in sorted(pairs, key=lambda p: (p[0], -p[1])):
+        best[at] = max(best.get(at, 0), 1 + max((n for other, n in best.items() if other < at), default=0))
+    return max(best.values(), default=0)
+
+
+def license_coverage(own, template, k):
+    """The best coverage of a template near any one diagonal."""
+    runs = [template[j : j + k] for j in range(len(template) - k + 1)]
+    met = [(i, j) for i in range(len(own) - k + 1) for j, run in enumerate(runs) if own[i : i + k] == run]
+    near = ([m for m in met if abs(m[0] - m[1] - d) <= licenses.NEAR] for d in {i - j for i, j in met})
+    return max((rising(pairs) / len(runs) for pairs in near), default=0.0)
+
+
+PARAGRAPH = license_words(next(iter(licenses.PARAGRAPHS)))
+LICENSED = [
+    "cc by " * 5, "public license " * 6, "general public license " * 3, "the mit license " * 3, "the mit license under released",
+    " ".join(PARAGRAPH), " ".join(PARAGRAPH[:30] + ["well", "then"] + PARAGRAPH[30:]), " ".join(PARAGRAPH[50:] + PARAGRAPH[:50]),
+    " ".join(PARAGRAPH[:60]), " ".join(PARAGRAPH[:40] + PARAGRAPH[43:]), " ".join(PARAGRAPH * 2), "Licensed under the Apache-License, Version 2.0",
+    "licensed under the very apache license version 2 0", "all rights reserved " * 40, "released under the \u212a mit license", "cc \u00c9 by",
+]
+
+
+def test_licenses(table, texts):
+    own_texts = texts + LICENSED
+    spans, per_row = licenses.scan_licenses(table(own_texts))
     rows = per_row.collect()
-    assert len(rows) == len(texts)
+    assert len(rows) == len(own_texts)
+    kinds = [(licenses.SENTENCES, 2), (licenses.PARAGRAPHS, licenses.PARAGRAPH_WORDS)]
     for r in rows:
-        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (texts[r.id] or "").translate(low))
+        own = license_words(own_texts[r.id])
         places = [(i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(own)) if own[i : i + len(phrase.split())] == phrase.split()]
         starts = [i for i, _ in places]
         assert (r.n_words, r.n_base) == (len(own), len(places))
         assert (r.first_word, r.last_word) == ((min(starts), max(starts)) if starts else (None, None))
         assert r.base_labels == ",".join(sorted({label for _, label in places}))
-        assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) and (r.score > 0) == bool(r.labels)
-    assert sum("mit" in r.labels.split(",") for r in rows) == 3
+        found = [(1.0, label) for _, label in places]
+        found += [(license_coverage(own, license_words(t), k), label) for listed, k in kinds for t, label in listed.items()]
+        found = [(c, label) for c, label in found if c >= licenses.COVERED]
+        assert r.labels == ",".join(sorted({label for _, label in found}))
+        assert r.score == pytest.approx(max((c for c, _ in found), default=0.0))
+    by_id = {r.id - len(texts): r.labels for r in rows}
+    assert [by_id[k] for k in range(5)] == ["cc-by", "", "gpl", "", ""]
+    assert by_id[5] == by_id[6] == by_id[9] == "mit" and by_id[7] == by_id[8] == ""
+    for r in spans.filter("label = 'mit'").collect():
+        assert r.end > r.start >= 0 and r.coverage >= licenses.COVERED
 
 
 # Empty tables
