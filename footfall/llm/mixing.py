@@ -6,7 +6,7 @@ is met to the word (the last block is cut). That fixes the exact number of block
 tree over the output shards then splits these quotas in two, again and again: the left half gets a
 multivariate-hypergeometric draw from the vector of quotas, the right half the rest, until each shard
 has its quota of each source. Shards take disjoint runs of the source's block order and shuffle
-what they got locally.
+what they got locally. What the mix takes of a document is the sum of its blocks' takes, each of which has a shard.
 
 All randomness follows from hashes of the seed, the id, the text and the block number, so reruns agree
 and a lost task gives the same rows again. Sources are dealt into ``GROUPS`` groups: the tree first
@@ -15,8 +15,9 @@ in a task, which is the same distribution by conditioning. Block orders are coun
 of each source, so that no task ranks a whole source.
 
 Defined cases: a null text has no words and is never taken; a null source is a source of its own, last in
-the order; repeated rows count as often as they occur; a source without words has the target 0; an
-empty table gives no rows; columns other than id, text and source are not read.
+the order; repeated rows count as often as they occur, and rows that agree in id and text are ordered by row number; a source without words
+has the target 0; a very long text is as many blocks as it needs, dealt like any others; an empty table gives no rows; columns other than id,
+text and source are not read and keep their values, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from footfall.llm.rows import addressed, row_number
+from footfall.llm.rows import addressed, free_name, row_number
 from footfall.session import stage
 
 BLOCK_WORDS = 128
@@ -36,6 +37,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
 SPACES = r"[\x20\x09-\x0D]+"
+#: numpy draws from fewer than 10**9 items.
+MOST_DRAWN = 10**9 - 1
 
 
 def words_of(text) -> F.Column:
@@ -69,12 +72,22 @@ def sources_with_targets(
     return levels.select("source", "source_size", target.alias("target"))
 
 
+def draw(quotas: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """A multivariate-hypergeometric draw; of more items than numpy takes, one from each half of every quota."""
+    total = int(quotas.sum())
+    if total <= MOST_DRAWN:
+        return rng.multivariate_hypergeometric(quotas, size, method="marginals")
+    one = quotas // 2
+    first = min(int(one.sum()), size * int(one.sum()) // total)
+    return draw(one, first, rng) + draw(quotas - one, size - first, rng)
+
+
 def split_quotas(quotas: np.ndarray, shards: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Quotas by source to a table by source and shard; rows sum to ``quotas``, columns to ``shards``."""
     if len(shards) == 1:
         return quotas[:, None]
     half = len(shards) // 2
-    left = rng.multivariate_hypergeometric(quotas, int(shards[:half].sum()), method="marginals")
+    left = draw(quotas, int(shards[:half].sum()), rng)
     return np.hstack([split_quotas(left, shards[:half], rng), split_quotas(quotas - left, shards[half:], rng)])
 
 
@@ -125,7 +138,7 @@ def mix_plan(
     """Every block of ``docs`` with what the mix takes of it.
 
     ``id, row, source, size, source_size, target, block, words`` (of the block), ``passes`` (whole takes),
-    ``part`` (words of the part pass) and ``takes``: an array of ``shard, place`` per take, the part pass last.
+    ``part`` (words of the part pass) and ``takes``: an array of ``shard, place, words`` per take, the part pass last.
     """
     blocks = stage(blocks_of(docs, seed, id_col, text_col, source_col, block_words), "mix-blocks")
     targets = sources_with_targets(blocks.select("source", F.col("words").alias("size")), weights, share, most)
@@ -166,30 +179,33 @@ def mix_plan(
     runs = runs.join(owed.withColumnRenamed("source", "owing"), F.col("source").eqNullSafe(F.col("owing"))).select("source", "runs", "blocks")
     runs = runs.withColumnRenamed("source", "run_source")
     # Takes are numbered pass by pass in the block order; a shard holds one run of these numbers.
-    numbers = F.transform(
-        F.filter(F.sequence(F.lit(0).cast("long"), F.col("passes")), lambda p: (p < F.col("passes")) | (F.col("part") > 0)),
-        lambda p: p * F.col("blocks") + F.col("order"),
-    )
+    passes = F.filter(F.sequence(F.lit(0).cast("long"), F.col("passes")), lambda p: (p < F.col("passes")) | (F.col("part") > 0))
     def find(n):
         return F.element_at(F.filter("runs", lambda r: (r["first"] <= n) & (n < r["first"] + r["quota"])), 1)["shard"]
 
-    def take(n):
-        return F.struct(find(n).alias("shard"), F.xxhash64(F.lit(seed), "draw", n).alias("place"))
+    def take(p):
+        n = p * F.col("blocks") + F.col("order")
+        words = F.when(p < F.col("passes"), F.col("words")).otherwise(F.col("part"))
+        return F.struct(find(n).alias("shard"), F.xxhash64(F.lit(seed), "draw", n).alias("place"), words.alias("words"))
 
     joined = placed.join(runs, placed.source.eqNullSafe(runs.run_source))
     return joined.select(
         "id", "row", "source", "size", "source_size", "target", "block", "words", "passes", "part",
-        F.transform(numbers, take).alias("takes"),
+        F.filter(F.transform(passes, take), lambda t: t["shard"].isNotNull()).alias("takes"),
     )
 
 
+def _words_taken() -> F.Column:
+    return F.aggregate("takes", F.lit(0).cast("long"), lambda sum_, t: sum_ + t["words"])
+
+
 def taken_by_document(docs: DataFrame, **options) -> DataFrame:
     """``id, size, source_size, target, taken`` of every document, also of those without words."""
     id_col, source_col, text_col = (options.get(k, d) for k, d in (("id_col", "doc_id"), ("source_col", "source"), ("text_col", "text")))
     plan = mix_plan(docs, **options)
     took = plan.groupBy("id", "row").agg(
         F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
-        F.sum(F.col("passes") * F.col("words") + F.col("part")).alias("taken"),
+        F.sum(_words_taken()).alias("taken"),
     ).drop("row")
     # A document without words has no block; its source may have none at all.
     empty = docs.filter(F.size(words_of(F.col(text_col))) == 0).select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("own"))
@@ -208,36 +224,46 @@ def mixed_documents(docs: DataFrame, n_chars_col: str | None = "n_chars", **opti
     them, or the whole text if it took all.
     """
     docs = addressed(docs)
-    text_col = options.get("text_col", "text")
-    plan = mix_plan(docs, **options)
-    runs = F.sort_array(F.collect_list(F.when(F.col("part") > 0, F.struct("block", "part"))))
-    took = plan.groupBy("row").agg(
-        F.first("passes").alias("_passes"), F.sum("part").alias("_part"), F.first("size").alias("_size"), runs.alias("_runs")
-    ).withColumnRenamed("row", "_row")
-    step = options.get("block_words", BLOCK_WORDS)
-    words = words_of(F.col(text_col))
+    text_col, step = options.get("text_col", "text"), options.get("block_words", BLOCK_WORDS)
+    row, took, words, texts = (free_name(docs, name) for name in ("row", "took", "words", "texts"))
+    # The tree dealt out each take of a block: all whole ones, then perhaps a part.
+    of_block = mix_plan(docs, **options).select(
+        "row", "block", F.size(F.filter("takes", lambda t: t["words"] == F.col("words"))).alias("whole"),
+        F.aggregate("takes", F.lit(0).cast("long"), lambda n, t: F.greatest(n, F.when(t["words"] < F.col("words"), t["words"]).otherwise(0))).alias("cut"),
+        "words",
+    )
+    # Blocks of a document differ in at most one whole take: what all have is a repetition of the row, the rest is cut out of it.
+    least = F.min("whole")
+    by_row = of_block.groupBy("row").agg(
+        least.alias("repeats"), F.sort_array(F.collect_list(F.struct("block", "whole", "cut", "words"))).alias("blocks")
+    )
+    runs = F.filter(
+        F.transform("blocks", lambda b: F.struct(
+            b["block"].alias("block"), F.when(b["whole"] > F.col("repeats"), b["words"]).otherwise(b["cut"]).cast("int").alias("count")
+        )), lambda b: b["count"] > 0,
+    )
+    by_row = by_row.select(F.col("row").alias(row), F.struct("repeats", runs.alias("runs")).alias(took))
+    taken = F.col(took)
     cut = F.array_join(
-        F.flatten(F.transform("_runs", lambda r: F.slice("_words", (r["block"] * step + 1).cast("int"), r["part"].cast("int")))), " "
+        F.flatten(F.transform(taken["runs"], lambda r: F.slice(words, (r["block"] * step + 1).cast("int"), r["count"]))), " "
     )
-    whole = F.col("_part") == F.col("_size")
-    joined = docs.withColumn("_row", row_number()).join(took, "_row")
-    texts = F.concat(
-        F.array_repeat(F.col(text_col), (F.col("_passes") + F.when(whole, 1).otherwise(0)).cast("int")),
-        F.when(~whole & (F.col("_part") > 0), F.array(cut)).otherwise(F.array().cast("array<string>")),
+    repeated = F.concat(
+        F.array_repeat(F.col(text_col), taken["repeats"]),
+        F.when(F.size(taken["runs"]) > 0, F.array(cut)).otherwise(F.array().cast("array<string>")),
     )
-    out = joined.withColumn("_words", words).withColumn("_text", F.explode(texts)).withColumn(text_col, F.col("_text"))
+    joined = docs.withColumn(row, row_number()).join(by_row, row).withColumn(words, words_of(F.col(text_col)))
+    out = joined.withColumn(texts, repeated).withColumn(text_col, F.explode(texts))
     if n_chars_col in docs.columns:
         out = out.withColumn(n_chars_col, F.length(text_col).cast(docs.schema[n_chars_col].dataType))
     return out.select(docs.columns)
 
 
 def write_shards(docs: DataFrame, folder: str, **options) -> None:
-    """The mix as files: a folder per shard, its blocks in the shard's own random order."""
+    """The mix as files: a folder per shard, its blocks (id, source, block, text) in the shard's own random order."""
     docs = addressed(docs)
     text_col, step = options.get("text_col", "text"), options.get("block_words", BLOCK_WORDS)
-    takes = mix_plan(docs, **options).select("row", "id", "source", "block", "words", "part", "passes", F.posexplode("takes").alias("pass", "take"))
-    count = F.when(F.col("pass") < F.col("passes"), F.col("words")).otherwise(F.col("part"))
+    takes = mix_plan(docs, **options).select("row", "id", "source", "block", F.explode("takes").alias("take"))
     texts = docs.select(row_number().alias("row"), words_of(F.col(text_col)).alias("all"))
-    cut = F.array_join(F.slice("all", (F.col("block") * step + 1).cast("int"), count.cast("int")), " ")
+    cut = F.array_join(F.slice("all", (F.col("block") * step + 1).cast("int"), F.col("take.words").cast("int")), " ")
     rows = takes.join(texts, "row").select("id", "source", "block", cut.alias("text"), F.col("take.shard").alias("shard"), F.col("take.place").alias("place"))
     rows.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(folder)

@@ -26,11 +26,16 @@ def row_number() -> Column:
     return F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first longer one that is no column of ``df``."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` (a plain scan) without the rows numbered in ``dropped``; texts move only if there are many of these."""
-    name = "row"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs, "row")
     dropped = dropped.select(F.col("row").alias(name))
     dropped = F.broadcast(dropped) if is_small(dropped) else dropped
     return docs.select("*", row_number().alias(name)).join(dropped, name, "left_anti").drop(name)
