@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import timedelta
 from functools import reduce
 
@@ -19,6 +20,7 @@ from footfall.operators.scope import TenantScope
 from footfall.session import configure, new_path, stage
 from footfall.sources import store
 from footfall.sources.fixtures import AS_OF, CLICKED, FUNNEL_STEPS, GONE, HOT_TENANT, JOB_FAILS, Fixtures
+from footfall.sources.table import Site, Table
 from footfall.streaming import activity as stream_activities
 from footfall.streaming import batches as stream_batching
 from footfall.streaming import limiter as stream_limiter
@@ -37,6 +39,8 @@ TTL = timedelta(hours=6)
 OTHER_TENANT = "00000000-0000-4000-8000-000000000002"
 OWNER = "20000000-0000-4000-8000-000000000003"
 
+SITE = {"events": schemas.EVENTS, "hours": schemas.HOURLY_STATS, "sessions": schemas.SESSIONS, "funnels": schemas.FUNNELS}
+
 QUERIES: dict[str, Query] = {}
 
 
@@ -470,6 +474,37 @@ def tenant_purge(f: Fixtures) -> DataFrame:
     return tenancy.purge(f.plain_events(), f.sql(GONE)).select("event_id", "tenant_id")
 
 
+def _purged_site(f: Fixtures) -> Site:
+    """Events, their rollups and funnels, from which a part of the tenants is removed."""
+    site = Site(f.spark, new_path(f.spark, "site"), **SITE)
+    events = stage(f.stored_events(), "stored")
+    for name, rows in {
+        "events": events, "hours": rollups.hourly_stats(events), "sessions": rollups.sessions(events), "funnels": _funnel_rows(f),
+    }.items():
+        site[name].append(rows.select(SITE[name].names))
+    site.remove(f.sql(GONE))
+    return site
+
+
+@query
+def tenant_purge_cascade(f: Fixtures) -> DataFrame:
+    # Half of the tables still hold the removed rows in their files, the other half doesn't.
+    site = _purged_site(f)
+    for name in ("events", "funnels"):
+        site[name].rewrite()
+    counts = [site[name].read().groupBy("tenant_id").agg(F.count("*").alias("rows")).withColumn("kind", F.lit(name)) for name in SITE]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query
+def events_append_writers(f: Fixtures) -> DataFrame:
+    root = new_path(f.spark, "shared-events")
+    tables = [Table(f.spark, root, SITE["events"]) for _ in range(4)]
+    with ThreadPoolExecutor(4) as writers:  # each with its own part of the month, at the same time
+        list(writers.map(lambda pair: pair[0].append(pair[1]), zip(tables, _slices(stage(f.stored_events(), "stored"), "time"))))
+    return tables[0].read()
+
+
 # Quality
 
 

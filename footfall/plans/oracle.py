@@ -503,6 +503,14 @@ SELECT doc_id, len(items) AS items, md5(array_to_string(items, '|')) AS digest F
   SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\r?\\n|,'), lambda x: {_trim('x')}), lambda x: x <> '') AS items
   FROM documents)""",
         "tenant_purge": f"SELECT event_id, tenant_id FROM ({PLAIN}) WHERE tenant_id NOT IN ({GONE})",
+        "tenant_purge_cascade": f"""
+SELECT * FROM (
+  SELECT 'events' AS kind, tenant_id, count(*) AS rows FROM ({PLAIN}) GROUP BY 2
+  UNION ALL SELECT 'hours', tenant_id, count(*) FROM ({HOURS}) GROUP BY 2
+  UNION ALL SELECT 'sessions', tenant_id, count(DISTINCT session_id) FROM ({PLAIN}) GROUP BY 2
+  UNION ALL SELECT 'funnels', tenant_id, count(*) FROM ({_funnel_rows()}) GROUP BY 2
+) WHERE tenant_id NOT IN ({GONE})""",
+        "events_append_writers": STORED,
         "null_audit": f"""
 SELECT column_name, null_count FROM (
   UNPIVOT (SELECT {', '.join(f'count(*) FILTER (WHERE {c} IS NULL) AS {c}' for c in _EVENT_COLUMNS)} FROM ({STORED}))

@@ -6,8 +6,8 @@ when it has none of the session's other slots. What a micro-batch changes goes o
 summed per micro-batch, written to a folder of its own, and summed again by the reader.
 
 Events are counted per slot and Arrow batch before the shuffle, so that a session with a third of all events is a few rows a task.
-With a ``delay``, later events are dropped and a timer clears a session's state when its last window has closed; without
-one nothing is ever late and nothing is forgotten.
+With a ``delay``, windows are final once the watermark has passed their end, and a timer clears a session's state when its last
+window has; without one nothing is ever late and nothing is forgotten.
 """
 
 from __future__ import annotations
@@ -38,12 +38,13 @@ class _Sessions(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         slots, timer = self.seen.get() if self.seen.exists() else ([], None)
         seen = set(slots)
-        events, sessions = Counter(), Counter()
-        counts = Counter()
+        events, sessions, counts = Counter(), Counter(), Counter()
+        passed = timerValues.getCurrentWatermarkInMs() // SLOT_MS if self.timed else None
         for row in rows:
             counts[row["slot"]] += row["n"]
         for slot, n in counts.items():
-            for window in range(slot + 1, slot + SLOTS + 1):
+            # Windows that the watermark has passed are final; their slots may be forgotten already.
+            for window in range(max(slot, slot if passed is None else passed) + 1, slot + SLOTS + 1):
                 events[window] += n
                 # A window that ends with slot w - 1 has the slots from w - SLOTS on.
                 if key[1] is not None and seen.isdisjoint(range(window - SLOTS, window)):
@@ -51,8 +52,7 @@ class _Sessions(StatefulProcessor):
             seen.add(slot)
         due = timer
         if self.timed:
-            closed = timerValues.getCurrentWatermarkInMs() // SLOT_MS - SLOTS
-            seen = {slot for slot in seen if slot >= closed}
+            seen = {slot for slot in seen if slot > passed - SLOTS}
             due = (max(counts.keys() | seen) + SLOTS + 1) * SLOT_MS
             if due != timer:
                 if timer is not None:

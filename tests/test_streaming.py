@@ -1,5 +1,6 @@
 """Streams give what the batch gives, and survive replays."""
 
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -81,12 +82,6 @@ def test_closed_hours_then_reconcile(spark, fixtures):
     assert rows(whole) == rows(rollups.hourly_stats(events))
 
 
-def test_activity_counts_each_event_in_six_windows(spark, fixtures):
-    events = fixtures.plain_events()
-    activity = stream_rollups.rolling_activity(events)
-    assert activity.agg(F.sum("events")).first()[0] == 6 * events.count()
-
-
 def test_live_feed_replay(spark, fixtures):
     feed = LiveFeed(spark, new_path(spark, "feed"))
     events = fixtures.plain_events().select("tenant_id", "event_id", "time")
@@ -173,3 +168,129 @@ def test_large_compactions_get_more_cuts(spark, fixtures):
     cut = store.in_store_order(events, 7 * store.FILE_BYTES)
     assert "REPARTITION_BY_NUM" in cut._jdf.queryExecution().toString()
     assert "REPARTITION_BY_NUM" not in store.in_store_order(events, 1)._jdf.queryExecution().toString()
+
+
+# Batches, activity, retries and rooms
+
+
+def _pieces(spark, tmp_path, parts, schema):
+    """A stream with one micro-batch for each list of rows."""
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # files are taken in the order of their times
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+
+
+def _at(seconds):
+    return datetime(2024, 1, 1) + timedelta(seconds=seconds)
+
+
+def test_batches_end_by_size_by_time_and_by_watermark(spark, tmp_path):
+    from footfall.operators.batching import Batching
+    from footfall.streaming import batches, limiter, rollups
+
+    schema = "event_id long, worker string, arrived_at timestamp_ntz"
+    parts = [
+        [(1, "a", _at(0)), (2, "a", _at(0.5)), (3, "a", _at(1.0)), (4, "a", _at(1.2))],  # three make a batch, the fourth waits
+        [(5, "a", _at(2.1)), (6, "b", _at(50))],  # 5 is in time for 4
+        [(7, "c", _at(100))],  # the watermark ends what waits in a and b
+        [(None, "c", _at(101))],
+    ]
+    stream = _pieces(spark, tmp_path, parts, schema)
+    batched = batches.batched(stream, Batching(3, 1000), "worker")
+    with limiter.state_store(spark):
+        rollups.start_append(batched, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.queue, r.number, r.event_ids) for r in rows) == [("a", 0, [1, 2, 3]), ("a", 1, [4, 5]), ("b", 0, [6]), ("c", 0, [7])]
+    assert all(r["size"] == len(r.event_ids) and r.first_event == r.event_ids[0] for r in rows)
+
+
+def test_batches_by_the_wall_clock_end_by_a_timer(spark, tmp_path):
+    from footfall.operators.batching import Batching
+    from footfall.streaming import batches, limiter, rollups
+
+    schema = "event_id long, arrived_at timestamp_ntz"
+    stream = _pieces(spark, tmp_path, [[(1, _at(0)), (2, _at(900)), (3, _at(1))]], schema)
+    batched = batches.batched(stream, Batching(2, 500), clock="wall")
+    with limiter.state_store(spark):
+        query = rollups.start_append(batched, f"{tmp_path}/out", f"{tmp_path}/checkpoint", every="1 second")
+        for _ in range(60):
+            time.sleep(1)
+            if store.exists(spark, f"{tmp_path}/out") and spark.read.schema(batched.schema).parquet(f"{tmp_path}/out").count() == 2:
+                break
+        query.stop()
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.number, r.event_ids) for r in rows) == [(0, [1, 3]), (1, [2])]  # times of arrivals give the order alone
+
+
+def test_activity_counts_sessions_once_a_window(spark, tmp_path):
+    from footfall.streaming import activity, limiter
+
+    minute = lambda m: _at(60 * m)
+    schema = "tenant_id string, session_id string, time timestamp_ntz"
+    parts = [
+        [("t", "a", minute(1)), ("t", "a", minute(2)), ("t", "b", minute(7)), ("u", "a", minute(1)), ("t", None, minute(1))],
+        [("t", "a", minute(8)), ("t", "a", minute(200))],
+        [("t", "b", minute(1)), ("t", "c", minute(210))],  # nothing is late without a delay
+    ]
+    for delay, late in ((None, True), ("1 hour", False)):
+        path = f"{tmp_path}/{late}"
+        stream = _pieces(spark, path, parts, schema)
+        with limiter.state_store(spark):
+            changes = activity.activity_changes(stream, delay)
+            activity.start_activity(changes, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+        got = {(r.tenant_id, r.until): (r.events, r.sessions) for r in activity.read_activity(spark, f"{path}/out").collect()}
+        expected = {}
+        rows = [r for part in parts for r in part if late or r != ("t", "b", minute(1))]
+        for tenant in "tu":
+            for k in range(1, 60):
+                own = [r for r in rows if r[0] == tenant and minute(5 * k - 30) <= r[2] < minute(5 * k)]
+                if own:
+                    expected[tenant, minute(5 * k)] = (len(own), len({r[1] for r in own} - {None}))
+        assert got == expected
+
+
+def test_retries_pause_double_and_end(spark, tmp_path):
+    from footfall.streaming.retries import Retry, RetryQueue
+
+    # Fails so many times.
+    work = lambda jobs: jobs.withColumn("failed", F.col("attempt") <= F.col("fails"))
+    queue = RetryQueue(spark, str(tmp_path / "queue"), work, Retry(3, 1000))
+    jobs = lambda *rows: spark.createDataFrame(rows, "event_id long, fails int, arrived_at timestamp_ntz")
+    queue.process(jobs((1, 0, _at(0)), (2, 1, _at(0)), (3, 2, _at(0)), (4, 9, _at(0))), 0)
+    ended = lambda: {r.event_id: (r.status, r.attempts, r.finished_at) for r in queue.outcomes().collect()}
+    assert ended() == {1: ("done", 1, _at(0))}
+    assert {(r.event_id, r.attempt, r.due_ms % 100_000) for r in queue.waiting().collect()} == {
+        (i, 2, int(_at(1).timestamp() * 1000) % 100_000) for i in (2, 3, 4)
+    }
+    # Time has come for the second attempts, not for the third ones.
+    queue.process(jobs((5, 0, _at(1.5))), 1)
+    assert ended() == {1: ("done", 1, _at(0)), 2: ("done", 2, _at(1)), 5: ("done", 1, _at(1.5))}
+    # The same batch again, as after a failure, changes nothing; a job may use up all attempts at once.
+    for _ in range(2):
+        queue.process(jobs((6, 2, _at(2)), (7, 0, _at(100))), 2)
+    after = ended()
+    assert after[3] == ("done", 3, _at(3)) and after[4] == ("dead", 3, _at(3)) and after[6] == ("done", 3, _at(5))
+    assert queue.waiting().count() == 0 and {r.event_id for r in queue.dead_letters().collect()} == {4}
+    queue.process(jobs((8, 9, _at(101))), 3)
+    queue.finish()
+    assert ended()[8] == ("dead", 3, _at(104)) and len(ended()) == 8 == queue.outcomes().count()
+
+
+def test_rooms_are_joined_and_left(spark, tmp_path):
+    from footfall.streaming import limiter, live, rollups
+
+    events = [
+        [("t", 1, _at(0)), ("t", 2, _at(3599)), ("u", 3, _at(10))],
+        [("t", 4, _at(7200)), ("t", 5, _at(10)), ("t", 6, _at(7199))],
+    ]
+    visits = [[("x", "t", _at(0), _at(7200)), ("y", "t", _at(3599), _at(3600)), ("z", "u", _at(20), _at(20))], [("w", "t", _at(5), _at(11))]]
+    sent = live.fan_out_stream(
+        _pieces(spark, tmp_path / "e", events, "tenant_id string, event_id long, time timestamp_ntz"),
+        _pieces(spark, tmp_path / "v", visits, "subscriber_id string, tenant_id string, joined_at timestamp_ntz, left_at timestamp_ntz"),
+        delay="1 day",
+    )
+    with limiter.state_store(spark):
+        rollups.start_append(sent, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.subscriber_id, r.event_id) for r in rows) == [("w", 5), ("x", 1), ("x", 2), ("x", 5), ("x", 6), ("y", 2)]
