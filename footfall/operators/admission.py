@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from footfall.functions import net, timing
+from footfall.functions import hosts, net, timing
 from footfall.functions.text import trimmed
 from footfall.operators import validation
 from footfall.operators.lookup import lookup
@@ -45,7 +45,7 @@ def resolve(checked: DataFrame, tenants: DataFrame) -> DataFrame:
     keyed = checked.withColumn("_token", F.when(sound, F.lower("token")))
     joined = lookup(keyed, by_token(tenants), "_token").drop("_token")
     allowed = net.domain_allowed(F.col("_host"), F.col("_endings"))
-    return joined.withColumn("_host", net.dotted(net.url_host(F.col("url")))).withColumn(
+    return joined.withColumn("_host", net.dotted(hosts.browser_host(F.col("url")))).withColumn(
         "status",
         F.when(~F.col("readable"), UNREADABLE)
         .when(F.col("violations") != "", MALFORMED)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from footfall.functions import timing
 from footfall.functions.events import agent_label, property_value
@@ -166,9 +166,13 @@ def displayed_log(log: DataFrame) -> DataFrame:
 
 
 def property_breakdown(scope: TenantScope, name: str) -> DataFrame:
-    """Events per value of one property."""
+    """Events per value of one property; ``properties`` may be text or variants (``sources.properties``)."""
+    rows = scope.rows()
+    if isinstance(rows.schema["properties"].dataType, T.VariantType):
+        value = F.try_variant_get("properties", f"$['{name}']", "string")
+        return rows.groupBy("event_name", value.alias("value")).agg(F.count("*").alias("count"))
     return (
-        scope.rows()
+        rows
         .groupBy("event_name", property_value(F.col("properties"), name).alias("value"))
         .agg(F.count("*").alias("count"))
     )

@@ -11,15 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from footfall import schemas
 from footfall.functions import events as event_functions
-from footfall.functions import net, text, timing, useragent
+from footfall.functions import hosts, net, text, timing, useragent
 from footfall.operators import (
     admission, batching, enrichment, freshness, funnels, live, quality, ratelimit, rollups, stats, tenancy, validation,
 )
 from footfall.operators.lookup import lookup
 from footfall.operators.scope import TenantScope
 from footfall.session import configure, new_path, stage
-from footfall.sources import store
-from footfall.sources.fixtures import AS_OF, CLICKED, FUNNEL_STEPS, GONE, HOT_TENANT, JOB_FAILS, Fixtures
+from footfall.sources import properties, raw, store
+from footfall.sources.fixtures import AS_OF, CLICKED, FUNNEL_STEPS, GONE, HOT_TENANT, JOB_FAILS, SHAPED_URLS, Fixtures
 from footfall.sources.table import Site, Table
 from footfall.streaming import activity as stream_activities
 from footfall.streaming import batches as stream_batching
@@ -109,6 +109,11 @@ def url_host(f: Fixtures) -> DataFrame:
     return f.table("pages").select("page_id", net.url_host(url).alias("host"), net.is_url(url).alias("is_url"))
 
 
+@query
+def url_host_shapes(f: Fixtures) -> DataFrame:
+    return f.sql(SHAPED_URLS).select("page_id", "url", hosts.browser_host(F.col("url")).alias("host"))
+
+
 @query
 def domain_admission(f: Fixtures) -> DataFrame:
     events = f.web_events().select("event_id", "tenant_id", net.url_host(F.col("url")).alias("host"))
@@ -263,6 +268,24 @@ def property_breakdown(f: Fixtures) -> DataFrame:
     return stats.property_breakdown(_scope(f.plain_events()), "k")
 
 
+@query
+def property_breakdown_stored(f: Fixtures) -> DataFrame:
+    root = new_path(f.spark, "site")
+    for number, part in enumerate(_slices(f.plain_events(), "time")):
+        properties.write_properties(part, root, number)
+    return stats.property_breakdown(_scope(properties.read_properties(f.spark, root)), "k")
+
+
+@query
+def synthetic_posts(f: Fixtures) -> DataFrame:
+    tokens = f.arrivals().groupBy("token").agg(F.max("arrived_at").alias("at"))
+    posts = raw.synthetic_traffic(tokens, "https://example.com/try", "https://example.com/", F.col("at"))
+    parsed = validation.parse_bodies(posts)
+    return parsed.select(
+        "arrived_at", "readable", "token", "event_name", "properties", "session_id", "url", "referrer", "occurred_at",
+    )
+
+
 @query
 def click_properties(f: Fixtures) -> DataFrame:
     clicked = event_functions.click_properties(

@@ -372,6 +372,7 @@ SELECT event_id, readable, token, event_name, properties, session_id, url, refer
         "whitelist_normalise": f"""
 SELECT id, version, place - 1 AS place, {_wl_host('domain_whitelist[place]')} AS host
 FROM (SELECT *, unnest(range(1, len(domain_whitelist) + 1)) AS place FROM ({LOG}))""",
+        "url_host_shapes": f"SELECT page_id, url, {fx._by_rest('page_id', [host for _, host in fx.HOST_SHAPES])} AS host FROM ({fx.duckdb_text(fx.SHAPED_URLS)})",
         "url_host": f"SELECT page_id, {_host('url')} AS host, {URL_OK.format('url')} AS is_url FROM pages",
         "domain_admission": f"""
 SELECT e.event_id, {_host('e.url')} AS host,
@@ -429,6 +430,13 @@ FROM ({STORED}) WHERE tenant_id = '{T2}' ORDER BY time DESC, event_id DESC LIMIT
         "property_breakdown": f"""
 SELECT event_name, json_extract_string(properties, '$.k') AS value, count(*) AS count
 FROM ({PLAIN}) WHERE tenant_id = '{T0}' GROUP BY 1, 2""",
+        "synthetic_posts": f"""
+SELECT moment AS arrived_at, true AS readable, token, name AS event_name, properties,
+  regexp_replace(md5(concat('session', token)), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') AS session_id,
+  'https://example.com/try' AS url, 'https://example.com/' AS referrer, concat(strftime(moment, '%Y-%m-%dT%H:%M:%S.%g'), 'Z') AS occurred_at
+FROM (SELECT token, max(arrived_at) AS moment FROM ({ARRIVALS}) GROUP BY 1), (VALUES
+  ('pageview', '{{"section":"catalogue"}}'), ('click', '{{"tag":"a","text":"Order now"}}'), ('signup', '{{"channel":"newsletter"}}')
+) AS post(name, properties)""",
         "click_properties": f"""
 SELECT event_id, lower(tag) AS tag, nullif(element_id, '') AS id,
   nullif(left(regexp_replace({_trim('text')}, '{SPACE}+', ' ', 'g'), 120), '') AS text, href FROM ({CLICKED})""",
@@ -542,6 +550,7 @@ SELECT s.subscriber_id, e.tenant_id, e.event_id, e.time, e.event_name
 FROM ({PLAIN}) e JOIN ({VISITS}) s ON s.tenant_id = e.tenant_id AND e.time >= s.joined_at AND e.time < s.left_at""",
         "retry_outcomes": RETRIED,
     }
+    sql["property_breakdown_stored"] = sql["property_breakdown"]
     sql["stream_batches"] = sql["ingest_batches"]
     sql["overview_from_rollup"] = sql["overview_summary"]
     sql["stream_realtime"] = sql["realtime"]

@@ -228,6 +228,18 @@ FROM {{customer}} c"""
 JOB_FAILS = "(event_id * 7919 + attempt * 104729) % 10 < 3"
 
 
+# Ways to write a host, and the host that a browser takes each for.
+HOST_SHAPES = [
+    ("http://Plain.example.com", "plain.example.com"), ("http://ex%61mple.com", "example.com"), ("https://caf%C3%A9.example", "xn--caf-dma.example"),
+    ("http://127.1", "127.0.0.1"), ("http://0x7F000001", "127.0.0.1"), ("http://0300.0250.1", "192.168.0.1"), ("http://256.1.1.1", None),
+    ("https://bücher.example", "xn--bcher-kva.example"), ("http://例え.テスト", "xn--r8jz45g.xn--zckzah"), ("http://a%2Fb.example", None),
+    ("http://user@1.2.3.4:8080", "1.2.3.4"),
+]
+SHAPED_URLS = "SELECT p.page_id, concat({}, '/', p.page_id) AS url FROM {{pages}} p".format(
+    _by_rest("p.page_id", [url for url, _ in HOST_SHAPES])
+)
+
+
 def tenant_versions(dialect: dict[str, str]) -> str:
     """The tenant log with the time of each version: version 0 as the tenant was made, others all over the month."""
     return f"""

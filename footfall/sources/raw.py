@@ -60,7 +60,7 @@ TRAFFIC = [
 
 
 def synthetic_traffic(tokens: DataFrame, url: str, referrer: str, at: Column) -> DataFrame:
-    """Three posts per token (page view, click, signup) that share a session."""
+    """Three posts per token (page view, click, signup) that share a session; ``at`` may be made of columns of ``tokens``."""
     as_map = T.MapType(T.StringType(), T.StringType())
     posts = F.array(
         *[
@@ -77,10 +77,11 @@ def synthetic_traffic(tokens: DataFrame, url: str, referrer: str, at: Column) ->
     session = F.regexp_replace(
         F.md5(F.concat(F.lit("session"), "token")), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"
     )
-    exploded = tokens.select("token", session.alias("session"), F.inline(posts))
+    exploded = tokens.select("token", session.alias("session"), at.alias("arrived_at"), F.inline(posts))
+    at = F.col("arrived_at")
     return exploded.select(
         F.xxhash64("token", "place").alias("event_id"),
-        at.alias("arrived_at"),
+        at,
         F.to_json(
             F.struct(
                 "token",

@@ -116,3 +116,41 @@ def test_purge_twice_changes_nothing(fixtures):
     gone = fixtures.plain_events().select("tenant_id").distinct().limit(3)
     once = tenancy.purge(fixtures.plain_events(), gone)
     assert once.count() == tenancy.purge(once, gone).count()
+
+
+# Totals from bitmaps of sessions
+
+
+def test_session_numbers_are_dense_and_stay(fixtures):
+    events = fixtures.plain_events()
+    early = events.where("event_id % 3 = 0")
+    known = rollups.numbered_sessions(early)
+    whole = rollups.numbered_sessions(events, known)
+    key = lambda r: (r.tenant_id, r.session_id)
+    first, both = {key(r): r for r in known.collect()}, {key(r): r for r in whole.collect()}
+    assert len(both) == events.select("tenant_id", "session_id").distinct().count() > len(first)
+    assert all(both[k] == r for k, r in first.items())
+    numbers = {}
+    for r in both.values():
+        numbers.setdefault((r.tenant_id, r.part), []).append(r.number)
+    assert all(sorted(own) == list(range(len(own))) for own in numbers.values())
+
+
+def test_totals_of_any_range_from_bitmaps(spark, fixtures):
+    odd = fixtures.plain_events().limit(40).withColumn("session_id", F.lit(None).cast("string"))
+    events = fixtures.plain_events().unionByName(odd)
+    hours = rollups.hourly_sessions(events, rollups.numbered_sessions(events))
+    for tenant in (HOT_TENANT, None):
+        for key in ("24h", "7d", "30d"):
+            expected = stats.summary(TenantScope(events, tenant), key, AS_OF).first()
+            assert tuple(rollups.summary_from_hours(hours, tenant, key, AS_OF).first()) == tuple(expected)
+
+
+def test_bitmaps_of_many_sessions(spark):
+    # More sessions in a part than a bitmap has bits.
+    events = spark.range(700_000).selectExpr(
+        "'t' AS tenant_id", "concat('s', id) AS session_id", "timestamp_ntz'2024-01-30 12:00:00' AS time"
+    )
+    hours = rollups.hourly_sessions(events, rollups.numbered_sessions(events))
+    assert hours.select("bucket").distinct().count() > 1
+    assert tuple(rollups.summary_from_hours(hours, "t", "24h", AS_OF).first()) == (700_000, 700_000)
