@@ -12,7 +12,8 @@ The plan has at most one row per length and open range of bins, so its size depe
 of ``sequence`` at most and never on the number of documents; it is broadcast.
 
 Defined cases: a null or empty text is the closing token alone; repeated rows and ids are packed as
-often as they occur; an empty table gives no rows; other columns are not read.
+often as they occur; pieces of equal length are taken in the order of id, row number and piece; a very long text is cut into as many pieces
+as it needs; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ from footfall.session import stage
 SEQUENCE = 2048
 END_ID = 0
 CACHED_WORDS = 700_000
+#: Parts in which the pieces of a length are ranked: more where a length is common.
+LEAST_BUCKETS = 64
+RANKED_AT_ONCE = 200_000
 PIECES = "row long, id long, piece int, start long, length long, ids_crc32 long"
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
@@ -101,6 +105,16 @@ class WordEncoder:
         return [b"".join(map(get, p)) for p in parts]
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(file: str) -> WordEncoder:
+    """One encoder for each tokenizer of a worker process, which keeps its words from task to task."""
+    if file not in _encoders:
+        _encoders[file] = WordEncoder(file)
+    return _encoders[file]
+
+
 def token_pieces(
     docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID,
     id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
@@ -110,7 +124,7 @@ def token_pieces(
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             for begin, end in slices(batch.column(2)):
                 part = batch.slice(begin, end - begin)
@@ -217,7 +231,7 @@ def ranked(pieces: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-def pack(pieces: DataFrame, sequence: int = SEQUENCE, buckets: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """``pieces`` (written, with row, id, piece, length) with ``sequence_id`` and ``offset``."""
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = np.array(best_fit(histogram, sequence) or np.empty((0, 5)), dtype=np.int64).reshape(-1, 5)
@@ -234,6 +248,7 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE, buckets: int = 64) -> Data
             nth = rank - at[:, 1]
             yield pd.DataFrame({"sequence_id": at[:, 3] + nth // at[:, 2], "offset": at[:, 4] + nth % at[:, 2] * length})
 
+    buckets = max(LEAST_BUCKETS, max(histogram.values(), default=0) // RANKED_AT_ONCE + 1)
     return ranked(pieces, buckets).withColumn("at", place("length", "rank")).select("*", "at.*").drop("at", "rank")
 
 
