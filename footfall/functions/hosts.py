@@ -77,11 +77,16 @@ def _adapted(delta: Column, points: Column, first: Column) -> Column:
     halved = F.floor(delta / F.when(first, 700).otherwise(2)).cast("long")
     begun = F.struct((halved + F.floor(halved / points)).cast("long").alias("d"), F.lit(0).cast("long").alias("k"))
     large = lambda s: s["d"] > 455
-    scaled = F.aggregate(F.sequence(F.lit(1), F.lit(8)), begun, lambda s, _: F.struct(
-        F.when(large(s), F.floor(s["d"] / 35)).otherwise(s["d"]).cast("long").alias("d"),
-        F.when(large(s), s["k"] + 36).otherwise(s["k"]).alias("k"),
-    ))
-    return (scaled["k"] + F.floor(36 * scaled["d"] / (scaled["d"] + 38))).cast("long")
+
+    def scale(s: Column, _: Column) -> Column:
+        return F.struct(
+            F.when(large(s), F.floor(s["d"] / 35)).otherwise(s["d"]).cast("long").alias("d"),
+            F.when(large(s), s["k"] + 36).otherwise(s["k"]).alias("k"),
+        )
+
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(8)), begun, scale, lambda s: (s["k"] + F.floor(36 * s["d"] / (s["d"] + 38))).cast("long")
+    )
 
 
 def punycode(label: Column) -> Column:
@@ -109,10 +114,9 @@ def punycode(label: Column) -> Column:
     def all_of(state: Column, point: Column) -> Column:
         delta = state["delta"] + (point - state["n"]) * (state["handled"] + 1)
         begun = F.struct(point.alias("n"), delta.alias("delta"), state["bias"].alias("bias"), state["handled"].alias("handled"), state["out"].alias("out"))
-        done = F.aggregate(points, begun, lambda s, c: one(s, point, c))
-        return F.struct(
-            (point + 1).alias("n"), (done["delta"] + 1).alias("delta"), done["bias"].alias("bias"), done["handled"].alias("handled"), done["out"].alias("out")
-        )
+        return F.aggregate(points, begun, lambda s, c: one(s, point, c), lambda s: F.struct(
+            (point + 1).alias("n"), (s["delta"] + 1).alias("delta"), s["bias"].alias("bias"), s["handled"].alias("handled"), s["out"].alias("out")
+        ))
 
     return F.aggregate(beyond, start, all_of, lambda state: state["out"])
 

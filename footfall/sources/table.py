@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from footfall.operators.lookup import is_small, lookup
 
 ATTEMPTS = 1000
+REMOVED = T.StructType([T.StructField("tenant_id", T.StringType())])
 
 
 class Conflict(RuntimeError):
@@ -176,7 +177,7 @@ class Site:
     """The tables of tenants' data, which lose a removed tenant together."""
 
     def __init__(self, spark: SparkSession, root: str, **schemas: T.StructType):
-        self.removed = Table(spark, f"{root}/removed", T.StructType([T.StructField("tenant_id", T.StringType())]))
+        self.removed = Table(spark, f"{root}/removed", REMOVED)
         self.tables = {name: Table(spark, f"{root}/{name}", schema, gone=self.removed) for name, schema in schemas.items()}
 
     def __getitem__(self, name: str) -> Table:

@@ -19,6 +19,7 @@ from footfall.operators import funnels, live, stats, tenancy
 from footfall.operators.ratelimit import Limit
 from footfall.operators.scope import TenantScope
 from footfall.sources import store
+from footfall.sources.table import REMOVED, Table
 from footfall.streaming.ingest import IngestPipeline
 
 
@@ -45,14 +46,22 @@ class Workspace:
     def _append(self, df: DataFrame, name: str) -> None:
         df.write.mode("append").parquet(f"{self.root}/{name}")
 
+    def _present(self, rows: DataFrame, tenant_column: str = "tenant_id") -> DataFrame:
+        """Rows without those of removed tenants."""
+        removed = self._removed()
+        return tenancy.purge(rows, removed.read(), tenant_column) if removed.state().files else rows
+
+    def _removed(self) -> Table:
+        return Table(self.spark, f"{self.root}/removed", REMOVED)
+
     def tenant_log(self) -> DataFrame:
-        return self._table("tenants", schemas.TENANT_LOG)
+        return self._present(self._table("tenants", schemas.TENANT_LOG), "id")
 
     def tenants(self) -> DataFrame:
         return tenancy.latest(self.tenant_log()).select(schemas.TENANTS.names)
 
     def funnel_rows(self) -> DataFrame:
-        return self._table("funnels", schemas.FUNNELS)
+        return self._present(self._table("funnels", schemas.FUNNELS))
 
     def setup_tenants(self, requests: DataFrame) -> None:
         """Requests have owner_user_id, name, requested_at and request_id."""
@@ -67,6 +76,13 @@ class Workspace:
         """Requests have tenant_id, name, steps and created_at."""
         self._append(tenancy.new_funnels(requests, F.expr("uuid()")), "funnels")
 
+    def remove_tenants(self, gone: DataFrame) -> None:
+        """Leave tenants (tenant_id) with their events and funnels out of everything from now on, without rewriting anything.
+
+        Their tokens are unknown from the next batch on. ``purge_tenants`` lets their bytes go.
+        """
+        self._removed().append(gone.select("tenant_id").where("tenant_id IS NOT NULL").distinct())
+
     def purge_tenants(self, gone: DataFrame) -> None:
         """Remove tenants (tenant_id) with their events and funnels.
 
@@ -113,7 +129,7 @@ class Workspace:
         return self.pipeline().start(posts, self._checkpoint(), every)
 
     def events(self) -> DataFrame:
-        return self.pipeline().events()
+        return self._present(self.pipeline().events())
 
     # Reports
 

@@ -138,3 +138,18 @@ def test_second_batch_and_purge(spark, workspace):
     assert left.tenant(OTHER)["name"] == "Other"
     left.ingest(spark.createDataFrame([post(11, left.tenant(OTHER)["token"], "purchase")], schemas.RAW))
     assert left.events().count() == 2
+
+
+def test_removed_tenants_are_gone_at_once(spark, workspace):
+    site = workspace
+    token, other = site.tenant(USER)["token"], site.tenant(OTHER)["token"]
+    before = site.events().count()
+    own = site.overview(USER, "30d", NOW).first()["total_events"]
+    gone = site.tenants().where(F.col("owner_user_id") == USER).select(F.col("id").alias("tenant_id"))
+    site.remove_tenants(gone)
+    with pytest.raises(TenantNotSetUp):
+        site.tenant(USER)
+    assert site.events().count() == before - own and site.funnel_rows().count() == 0
+    outcomes = site.ingest(spark.createDataFrame([post(71, token, "pageview"), post(72, other, "pageview")], schemas.RAW))
+    assert {r.event_id: r.status for r in outcomes.collect()} == {71: 401, 72: 200}
+    assert site.events().count() == before - own + 1
