@@ -19,16 +19,6 @@ def split(text):
     return (text or "").encode().split()
 
 
-@pytest.fixture(scope="session")
-def folder(spark, docs, tmp_path_factory):
-    """The odd documents and some labels as a folder of tables."""
-    path = str(tmp_path_factory.mktemp("tables"))
-    docs.write.parquet(f"{path}/documents.parquet")
-    labels = [(k, k % 2, int(k % 3 == 0)) for k in range(0, 40, 2)] + [(4, 1, 1), (None, 1, 1), (10**6, 1, 0)]
-    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
-    return path
-
-
 # Filter audit
 
 
