@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences, in five stages that each keep what the next one works on."""
+"""From raw documents to packed training sequences, in five stages that each keep what the next one works on.
+
+Defined cases: null and empty texts are not toxic unless their score says so; as one text they leave one document, which the n-gram join
+keeps and the mix never takes. Of equal or similar texts the smallest id stays, of one id the first in row order; null ids come last. Repeated rows
+are copies. Very long texts go through whole. Columns beyond those of documents keep their values up to the packing, whatever
+their names. Without labels nothing is rejected; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
