@@ -19,7 +19,9 @@ from footfall.operators.lookup import lookup
 from footfall.operators.scope import TenantScope
 from footfall.session import configure, new_path, stage
 from footfall.sources import properties, raw, store
-from footfall.sources.fixtures import AS_OF, CLICKED, FUNNEL_STEPS, GONE, HOT_TENANT, JOB_FAILS, SHAPED_URLS, Fixtures
+from footfall.sources.fixtures import (
+    AS_OF, CLASSED_AGENTS, CLICKED, FUNNEL_STEPS, GONE, HOT_TENANT, JOB_FAILS, SHAPED_URLS, Fixtures,
+)
 from footfall.sources.table import Site, Table
 from footfall.streaming import activity as stream_activities
 from footfall.streaming import batches as stream_batching
@@ -147,6 +149,15 @@ def ua_enrich(f: Fixtures) -> DataFrame:
     )
 
 
+@query
+def ua_classes(f: Fixtures) -> DataFrame:
+    agent = F.col("user_agent")
+    return f.sql(CLASSED_AGENTS).select(
+        "event_id", "user_agent", useragent.device(agent).alias("device"),
+        useragent.operating_system(agent).alias("os"), useragent.browser(agent).alias("browser"),
+    )
+
+
 @query
 def arrival_rate(f: Fixtures) -> DataFrame:
     return ratelimit.arrival_rate(f.arrivals(), LIMIT)

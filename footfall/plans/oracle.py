@@ -372,6 +372,11 @@ SELECT event_id, readable, token, event_name, properties, session_id, url, refer
         "whitelist_normalise": f"""
 SELECT id, version, place - 1 AS place, {_wl_host('domain_whitelist[place]')} AS host
 FROM (SELECT *, unnest(range(1, len(domain_whitelist) + 1)) AS place FROM ({LOG}))""",
+        "ua_classes": "SELECT event_id, user_agent, {} FROM ({})".format(
+            ", ".join(
+                f"{fx._by_rest('event_id', [row[k] for row in fx.AGENT_CLASSES])} AS {name}" for k, name in ((1, "device"), (2, "os"), (3, "browser"))
+            ), fx.duckdb_text(fx.CLASSED_AGENTS),
+        ),
         "url_host_shapes": f"SELECT page_id, url, {fx._by_rest('page_id', [host for _, host in fx.HOST_SHAPES])} AS host FROM ({fx.duckdb_text(fx.SHAPED_URLS)})",
         "url_host": f"SELECT page_id, {_host('url')} AS host, {URL_OK.format('url')} AS is_url FROM pages",
         "domain_admission": f"""

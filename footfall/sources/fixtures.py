@@ -41,6 +41,45 @@ AGENTS = [
     None,
 ]
 
+_K = "AppleWebKit/537.36 (KHTML, like Gecko)"
+_IOS = "AppleWebKit/605.1.15 (KHTML, like Gecko)"
+# Agents of many kinds, and the device, system and browser of each.
+AGENT_CLASSES = [
+    (f"Mozilla/5.0 (Windows NT 10.0; Win64; x64) {_K} Chrome/120.0.0.0 Safari/537.36 Edg/120.0.2210.91", "desktop", "Windows", "Edge"),
+    (f"Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) {_K} Chrome/119.0.0.0 Safari/537.36 OPR/105.0.0.0", "desktop", "Mac OS", "Opera"),
+    (f"Mozilla/5.0 (Linux; Android 13; SAMSUNG SM-S918B) {_K} SamsungBrowser/23.0 Chrome/115.0.0.0 Mobile Safari/537.36", "mobile", "Android", "Samsung Internet"),
+    (f"Mozilla/5.0 (iPad; CPU OS 16_6 like Mac OS X) {_IOS} Version/16.6 Mobile/15E148 Safari/604.1", "tablet", "iOS", "Mobile Safari"),
+    (f"Mozilla/5.0 (iPhone; CPU iPhone OS 17_1 like Mac OS X) {_IOS} CriOS/120.0.6099.50 Mobile/15E148 Safari/604.1", "mobile", "iOS", "Chrome"),
+    ("Mozilla/5.0 (Android 13; Mobile; rv:121.0) Gecko/121.0 Firefox/121.0", "mobile", "Android", "Firefox"),
+    (f"Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X) {_IOS} FxiOS/120.0 Mobile/15E148 Safari/605.1.15", "mobile", "iOS", "Firefox"),
+    (f"Mozilla/5.0 (Linux; Android 12; SM-X906C) {_K} Chrome/119.0.0.0 Safari/537.36", "tablet", "Android", "Chrome"),
+    ("Mozilla/5.0 (Windows NT 10.0; WOW64; Trident/7.0; rv:11.0) like Gecko", "desktop", "Windows", "IE"),
+    ("Mozilla/4.0 (compatible; MSIE 8.0; Windows NT 6.1)", "desktop", "Windows", "IE"),
+    (f"Mozilla/5.0 (X11; CrOS x86_64 14541.0.0) {_K} Chrome/119.0.0.0 Safari/537.36", "desktop", "Chromium OS", "Chrome"),
+    ("Mozilla/5.0 (X11; Ubuntu; Linux x86_64; rv:120.0) Gecko/20100101 Firefox/120.0", "desktop", "Ubuntu", "Firefox"),
+    ("Mozilla/5.0 (X11; Fedora; Linux x86_64; rv:118.0) Gecko/20100101 Firefox/118.0", "desktop", "Fedora", "Firefox"),
+    ("Mozilla/5.0 (X11; FreeBSD amd64; rv:115.0) Gecko/20100101 Firefox/115.0", "desktop", "FreeBSD", "Firefox"),
+    (f"Mozilla/5.0 (X11; Linux x86_64) {_K} Ubuntu Chromium/80.0.3987.87 Chrome/80.0.3987.87 Safari/537.36", "desktop", "Ubuntu", "Chromium"),
+    (f"Mozilla/5.0 (PlayStation; PlayStation 5/4.03) {_IOS} Version/13.0 Safari/605.1.15", "console", "PlayStation", "Safari"),
+    (f"Mozilla/5.0 (Windows NT 10.0; Win64; x64; Xbox; Xbox One) {_K} Chrome/48.0.2564.82 Safari/537.36 Edge/20.02", "console", "Xbox", "Edge"),
+    (f"Mozilla/5.0 (Web0S; Linux/SmartTV) {_K} Chrome/79.0.3945.79 Safari/537.36", "smarttv", "webOS", "Chrome"),
+    (f"Mozilla/5.0 (SMART-TV; Linux; Tizen 6.0) {_K} SamsungBrowser/2.2 Chrome/63.0.3239.84 TV Safari/537.36", "smarttv", "Tizen", "Samsung Internet"),
+    (f"Mozilla/5.0 (iPhone; CPU iPhone OS 17_1 like Mac OS X) {_IOS} Mobile/15E148 [FBAN/FBIOS;FBAV/440.0.0.0]", "mobile", "iOS", "Facebook"),
+    (f"Mozilla/5.0 (Linux; Android 13; Pixel 7; wv) {_K} Version/4.0 Chrome/119.0 Mobile Safari/537.36 Instagram 300.0", "mobile", "Android", "Instagram"),
+    (f"Mozilla/5.0 (Linux; Android 12; M2101; wv) {_K} Version/4.0 Chrome/107.0 Mobile Safari/537.36 MicroMessenger/8.0", "mobile", "Android", "WeChat"),
+    (f"Mozilla/5.0 (Linux; Android 13; Pixel 7; wv) {_K} Version/4.0 Chrome/119.0 Mobile Safari/537.36", "mobile", "Android", "Chrome WebView"),
+    (f"Mozilla/5.0 (Linux; Android 9; KFMAWI) {_K} Silk/108.4.6 like Chrome/108.0 Safari/537.36", "tablet", "Android", "Silk"),
+    (f"Mozilla/5.0 (X11; Linux x86_64) {_K} HeadlessChrome/119.0 Safari/537.36", "desktop", "Linux", "Chrome Headless"),
+    (f"Mozilla/5.0 (Windows NT 10.0; Win64; x64) {_K} Chrome/118.0.0.0 Safari/537.36 Vivaldi/6.4", "desktop", "Windows", "Vivaldi"),
+    (f"Mozilla/5.0 (Windows NT 10.0; Win64; x64) {_K} Chrome/118.0.0.0 YaBrowser/23.11 Safari/537.36", "desktop", "Windows", "Yandex"),
+    (f"Mozilla/5.0 (Linux; U; Android 11; en-US; RMX2001) {_K} Version/4.0 Chrome/100.0 UCBrowser/13.5 Mobile Safari/537.36", "mobile", "Android", "UCBrowser"),
+    (f"Mozilla/5.0 (Linux; Android 13; Pixel 6) {_K} Version/4.0 Chrome/118.0 Mobile DuckDuckGo/5 Safari/537.36", "mobile", "Android", "DuckDuckGo"),
+    (f"Mozilla/5.0 (Linux; Android 10; HarmonyOS; ELS-AN00) {_K} Chrome/99.0 HuaweiBrowser/13.0 Mobile Safari/537.36", "mobile", "HarmonyOS", "Huawei Browser"),
+    (f"Mozilla/5.0 (iPhone; CPU iPhone OS 16_5 like Mac OS X) {_IOS} GSA/290.0 Mobile/15E148 Safari/604.1", "mobile", "iOS", "GSA"),
+    (f"Mozilla/5.0 (Linux; U; Android 4.0.3; de-de; GT-I9100) {_K} Version/4.0 Mobile Safari/534.30", "mobile", "Android", "Android Browser"),
+    ("curl/8.4.0", "desktop", None, None),
+]
+
 
 def _uuid(prefix: str, number: str) -> str:
     return f"concat('{prefix}-0000-4000-8000-', lpad(concat('', {number}), 12, '0'))"
@@ -224,6 +263,8 @@ SUBSCRIPTIONS = f"""
 SELECT c.c_custkey AS subscriber_id, {_uuid('00000000', f'c.c_custkey % {TENANTS_COUNT}')} AS tenant_id
 FROM {{customer}} c"""
 
+CLASSED_AGENTS = "SELECT e.event_id, {} AS user_agent FROM {{events}} e".format(_by_rest("e.event_id", [row[0] for row in AGENT_CLASSES]))
+
 # Jobs of the enrichment; three of ten attempts fail.
 JOB_FAILS = "(event_id * 7919 + attempt * 104729) % 10 < 3"
 
