@@ -4,8 +4,8 @@ A bounded sample of labelled documents (``MOST_LABELLED`` per class, in hash ord
 the sample, words and word beginnings are counted in toxic and clean documents; a feature's evidence is the
 lower confidence bound of its log odds. Tokens of toxic documents with evidence of at least ``TOXIC`` are the
 labelled tokens. On the other third, the field (two tags; evidence classes of a token and its neighbours,
-and the tag before) is fitted to those tokens by gradient ascent on the conditional likelihood, and a
-logistic curve from marginals to document labels.
+and the tag before) is fitted to those tokens by gradient ascent on the conditional likelihood, on at most
+``FIELD_DOCUMENTS`` documents of each class in hash order, and, on all of that third, a logistic curve from marginals to document labels.
 
 Every whole text is then tagged: forward-backward gives each token's marginal, these aggregate to the score,
 and runs of tokens with a marginal of at least one half are the offending spans (byte offsets in UTF-8). Long
@@ -13,7 +13,7 @@ texts are cut into blocks whose transfer products are chained, which gives exact
 
 Defined cases: a null or empty text has no tokens and gets the score of a text without evidence; repeated rows are
 scored each; a document labelled more than once counts as toxic if any label says so, null labels are left out;
-without toxic and clean labels every score is 0; an empty table gives no rows. Only the text is an input of a
+without toxic and clean labels every score is 0; documents with the same labels and hash are taken in the order of their ids; an empty table gives no rows. Only the text is an input of a
 score.
 """
 
