@@ -49,10 +49,15 @@ def _ship_package(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or where that is unset a folder beside the session's tables."""
+    """The shared folder of the cluster, or where that is unset a folder beside the session's tables.
+
+    Executors on other machines would not see a local folder, so on a cluster that is an error.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local") and shared.startswith(("file:", "/")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared.rstrip('/')}/footfall"
 
 
