@@ -19,10 +19,11 @@ as it needs; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections import defaultdict, deque
 from collections.abc import Iterator
-from struct import pack as packed
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,24 @@ PIECES = "row long, id long, piece int, start long, length long, ids_crc32 long"
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
+_tokenizers: dict = {}
+
+
+def tokenizer_of(file: str):
+    """One tokenizer for each file and worker process; the words learnt with it go with the task."""
+    from tokenizers import Tokenizer
+
+    if file not in _tokenizers:
+        _tokenizers[file] = Tokenizer.from_file(file)
+    return _tokenizers[file]
+
+
+def _little(ids: array) -> array:
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids
+
+
 class WordEncoder:
     """Ids of texts, word by word, as little-endian 32-bit bytes.
 
@@ -53,9 +72,7 @@ class WordEncoder:
     """
 
     def __init__(self, file: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(file)
+        self.tokenizer = tokenizer_of(file)
         # The byte-level alphabet: bytes that print stand for themselves, the others follow from 256 on.
         prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in prints]
@@ -68,7 +85,7 @@ class WordEncoder:
         if not text.isascii():
             text = text.encode().decode("latin-1").translate(self.byte_chars)
         found = [token.id for token in self.tokenizer.model.tokenize(text)]
-        return packed(f"<{len(found)}I", *found)
+        return _little(array("I", found)).tobytes()
 
     def _learn(self, new: set[bytes]) -> None:
         known, other = self.known, []
@@ -105,16 +122,6 @@ class WordEncoder:
         return [b"".join(map(get, p)) for p in parts]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder_of(file: str) -> WordEncoder:
-    """One encoder for each tokenizer of a worker process, which keeps its words from task to task."""
-    if file not in _encoders:
-        _encoders[file] = WordEncoder(file)
-    return _encoders[file]
-
-
 def token_pieces(
     docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID,
     id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
@@ -124,7 +131,7 @@ def token_pieces(
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer)
+        encoder = WordEncoder(tokenizer)
         for batch in batches:
             for begin, end in slices(batch.column(2)):
                 part = batch.slice(begin, end - begin)
