@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from footfall.llm.components import components
-from footfall.llm.hashing import mix, shingles, slices, words
+from footfall.llm.hashing import FINE, lean, mix, shingles, slices, words
 from footfall.llm.rows import addressed, row_number, without
 from footfall.operators.lookup import is_small
 from footfall.session import stage
@@ -114,7 +114,7 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
 
 def _each_set(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
-        for begin, end in slices(batch.column(column)):
+        for begin, end in slices(batch.column(column), FINE):
             part = batch.slice(begin, end - begin)
             yield part, list(sets_of(part.column(column), size))
 
@@ -128,6 +128,7 @@ def common_cells(texts: DataFrame, size: int, segments: int) -> np.ndarray:
     """The hash cells that hold more than ``COMMON`` n-grams of the corpus, sorted."""
     cuts = [(1 << 32) * s // segments for s in range(1, segments)]
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
@@ -191,6 +192,7 @@ def candidate_edges(texts: DataFrame, common, size: int, percent: int, segments:
     """``a, b``: signatures that may be linked, or that stand between two that may."""
     cuts = [(1 << 48) * s // segments for s in range(1, segments)]
 
+    @lean
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = common.value
         keys: list[np.ndarray] = []
@@ -398,7 +400,7 @@ def linked_sets(members: DataFrame, size: int, percent: int, common) -> DataFram
     def walk(rows: pa.Table) -> pa.Table:
         sigs, sides = rows["sig"].to_numpy(), rows["side"].to_numpy()
         grams: list[np.ndarray] = []
-        for begin, end in slices(rows["text"]):
+        for begin, end in slices(rows["text"], FINE):
             grams.extend(sets_of(rows["text"].combine_chunks().slice(begin, end - begin), size))
         # Common n-grams last: their numbers get the highest place in the order.
         often = common.value
@@ -441,6 +443,7 @@ def similar_documents(
     docs = addressed(docs)
     texts = docs.select(F.col(text_col).alias("text"))
 
+    @lean
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _each_set(batches, 2, size):
             yield pa.RecordBatch.from_arrays(

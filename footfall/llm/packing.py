@@ -18,6 +18,7 @@ as it needs; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import zlib
@@ -30,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from footfall.llm.hashing import slices
+from footfall.llm.hashing import lean, slices
 from footfall.llm.rows import addressed, row_number
 from footfall.session import stage
 
@@ -48,7 +49,11 @@ _tokenizers: dict = {}
 
 
 def tokenizer_of(file: str):
-    """One tokenizer for each file and worker process; the words learnt with it go with the task."""
+    """One tokenizer for each file and worker process; the words learnt with it go with the task.
+
+    It starts no threads of its own, each of which would keep memory: Spark's tasks are as many as there are cores.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     if file not in _tokenizers:
@@ -130,6 +135,7 @@ def token_pieces(
     closing = np.array([end_id], "<u4").tobytes()
     schema = PIECES + (", ids binary" if with_ids else "")
 
+    @lean
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer)
         for batch in batches:

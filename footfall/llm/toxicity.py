@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from footfall.llm.hashing import Words, mix, slices, words
+from footfall.llm.hashing import FINE, Words, lean, mix, slices, words
 
 MOST_LABELLED = 6000
 FIELD_DOCUMENTS = 500
@@ -194,7 +194,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, Words]]:
     for batch in batches:
-        for begin, end in slices(batch.column(column)):
+        for begin, end in slices(batch.column(column), FINE):
             part = batch.slice(begin, end - begin)
             yield part, words(part.column(column))
 
@@ -202,6 +202,7 @@ def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
 def feature_counts(sample: DataFrame) -> DataFrame:
     """``feature, toxic, clean``: in how many documents of each kind a feature occurs, from ``toxic, text``."""
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in _parts(batches, 1):
             n = np.diff(found.first)
@@ -247,6 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "d
     model = Model(keys[by], lexicon["e"].to_numpy()[by])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in _parts(batches, 1):
             classes = shared.value.classes(found).astype(np.uint8)
@@ -304,10 +306,11 @@ def score_documents(
                 spans[d].append({"last": i, "begin": begin, "end": end, "probability": float(p[i])})
         return own.score(p, found.first), [[{k: s[k] for k in ("begin", "end", "probability")} for s in row] for row in spans]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text_col)
         for batch in batches:
-            for begin, end in slices(batch.column(at)):
+            for begin, end in slices(batch.column(at), FINE):
                 part = batch.slice(begin, end - begin)
                 score, spans = tag(part.column(at))
                 columns = [*part.columns, pa.array(score), pa.array(spans, pa.list_(span))]
