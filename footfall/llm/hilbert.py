@@ -1,8 +1,8 @@
 """Shards along a Hilbert curve over document metadata, for files that several columns can prune.
 
-Source, language, size and id are quantised by their approximate percentiles into ``2**BITS`` levels each, so levels keep the
-order that file statistics have. The percentiles of text columns are those of ``SAMPLED`` rows, picked by hash from all; whole
-strings are compared, however long a beginning they share. The levels' place on the
+Source, language, size and id are quantised by their percentiles into ``2**BITS`` levels each, so levels keep the
+order that file statistics have. All rows count: the percentiles of numbers are approximate, those of text columns exact, from the counts
+of their distinct values; whole strings are compared, however long a beginning they share. The levels' place on the
 Hilbert curve comes from a small table, one look-up per bit. Rows in the order of curve, hash and id are
 numbered without sorting all of them in one place: counts per (curve, hash) bucket are summed up first over
 coarse curve ranges (at most ``2**COARSE`` rows), then within each range, then rows within a bucket. A third
@@ -28,8 +28,6 @@ BITS = 4
 COARSE = 8
 SPREAD = 10
 OVERHEAD = 16
-#: Rows whose texts give the percentiles of a text column.
-SAMPLED = 4096
 
 
 def _rotate(x: int, by: int, n: int) -> int:
@@ -76,8 +74,31 @@ def curve_index(levels: list[Column], bits: int = BITS) -> Column:
     return place
 
 
+def text_cuts(rows: DataFrame, dimension: str, n: int) -> list[str]:
+    """The ``n - 1`` texts at equal steps through a column in order, nulls left out; nothing else comes to the driver.
+
+    Distinct texts with their counts are dealt into ranges, and the counts summed up over the ranges, then within each.
+    """
+    counted = rows.filter(F.col(dimension).isNotNull()).groupBy(F.col(dimension).alias("value")).agg(F.count("*").alias("n"))
+    ranged = stage(counted.repartitionByRange("value").select("value", "n", F.spark_partition_id().alias("range")), "texts")
+    total = ranged.agg(F.sum("n")).first()[0]
+    if not total:
+        return []
+    ranges = ranged.groupBy("range").agg(F.sum("n").alias("n")).select(
+        "range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before")
+    )
+    within = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0))
+    places = [k * total // n for k in range(1, n)]
+    held = F.filter(F.array(*map(F.lit, places)), lambda place: (place >= F.col("first")) & (place < F.col("first") + F.col("n")))
+    placed = ranged.join(F.broadcast(ranges), "range").select("value", "n", first.alias("first"))  # as many ranges as partitions
+    found = placed.select("value", held.alias("places")).filter(F.size("places") > 0).collect()
+    at = {place: r["value"] for r in found for place in r["places"]}
+    return [at[place] for place in places]
+
+
 def quantised(rows: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFrame:
-    """``rows`` (with ``row``) with ``level_<dimension>`` by approximate percentiles; only cuts and sampled texts come to the driver."""
+    """``rows`` with ``level_<dimension>`` by percentiles; only these come to the driver."""
     n = 1 << bits
     texts = [d for d in dimensions if isinstance(rows.schema[d].dataType, T.StringType)]
     numbers = [d for d in dimensions if d not in texts]
@@ -85,11 +106,7 @@ def quantised(rows: DataFrame, dimensions: list[str], bits: int = BITS) -> DataF
     if numbers:
         found = rows.agg(*(F.percentile_approx(d, [k / n for k in range(1, n)]).alias(d) for d in numbers)).first()
         cuts |= {d: found[d] or [] for d in numbers}
-    for d in texts:
-        # Spark keeps the first of each task; bytes, as Spark compares, not code units.
-        sample = rows.filter(F.col(d).isNotNull()).select(d).orderBy(F.xxhash64("row"), "row").limit(SAMPLED).toPandas()[d]
-        ordered = sorted(sample, key=str.encode)
-        cuts[d] = [ordered[k * len(ordered) // n] for k in range(1, n)] if ordered else []
+    cuts |= {d: text_cuts(rows, d, n) for d in texts}
     levels = {}
     for d in dimensions:
         kind = rows.schema[d].dataType

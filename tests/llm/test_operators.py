@@ -419,6 +419,20 @@ def test_sources_with_a_common_beginning_are_told_apart(spark, tmp_path):
     assert max(map(len, by_shard.values())) <= 8
 
 
+def test_levels_of_texts_are_percentiles_of_all_rows(spark):
+    name = F.format_string("s%06d", F.col("id"))
+    rows = spark.range(20_000).select(
+        F.col("id").alias("row"), name.alias("source"), F.when(F.col("id") >= 10_000, name).otherwise("a").alias("lang"),
+        F.when(F.col("id") % 2 == 0, F.lit("\U0001f600")).when(F.col("id") % 4 == 1, F.lit("\uffff")).alias("odd"),
+        F.lit(None).cast("string").alias("none"),
+    )
+    for r in hilbert.quantised(rows, ["source", "lang", "odd", "none"]).collect():
+        level = max(0, (r.row - 1) // 1250)
+        assert r.level_source == level and r.level_lang == (level if r.row >= 10_000 else 0)
+        # Two thirds are U+1F600, which comes last in bytes; a null has the lowest level.
+        assert r.level_odd == (5 if r.odd == "\U0001f600" else 0) and r.level_none == 0
+
+
 # N-gram join
 
 
