@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import sys
 import zlib
 from array import array
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from footfall.llm.hashing import lean, slices
@@ -43,6 +45,7 @@ LEAST_BUCKETS = 64
 RANKED_AT_ONCE = 200_000
 PIECES = "row long, id long, piece int, start long, length long, ids_crc32 long"
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = string.punctuation
 
 
 _tokenizers: dict = {}
@@ -71,9 +74,10 @@ class WordEncoder:
     """Ids of texts, word by word, as little-endian 32-bit bytes.
 
     The tokenizer never joins characters across white space, so each word is encoded once and kept
-    in a dictionary that is emptied at ``CACHED_WORDS``, but never holds fewer words than the texts at
-    hand. A word of plain Latin letters is exactly one unit of the tokenizer's
-    model, which is asked directly; any other word goes through the whole tokenizer.
+    in a dictionary that is emptied at ``CACHED_WORDS``, though all that one call learns stays in it, however much
+    that is. Plain Latin letters are exactly one unit of the tokenizer's model, whatever their case, and so are
+    ASCII marks after them; the model is asked once for each unit. Any other word goes through the whole tokenizer.
+    Arrow splits the texts and puts their ids together, so Python sees each different word of a call only once.
     """
 
     def __init__(self, file: str):
@@ -85,46 +89,45 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
 
     def _unit(self, text: str) -> bytes:
-        """Ids of one unit: a run of plain Latin letters, or one mark."""
-        text = text.lower()
-        if not text.isascii():
-            text = text.encode().decode("latin-1").translate(self.byte_chars)
-        found = [token.id for token in self.tokenizer.model.tokenize(text)]
-        return _little(array("I", found)).tobytes()
-
-    def _learn(self, new: set[bytes]) -> None:
+        """Ids of one unit in lower case: a run of plain Latin letters, or of ASCII marks."""
+        key = text.encode()
+        ids = self.known.get(key)
+        if ids is None:
+            if not text.isascii():
+                text = key.decode("latin-1").translate(self.byte_chars)
+            found = [token.id for token in self.tokenizer.model.tokenize(text)]
+            ids = self.known[key] = _little(array("I", found)).tobytes()
+        return ids
+
+    def _learn(self, new: list[bytes]) -> None:
         known, other = self.known, []
         for word in new:
             text = word.decode()
-            mark = text[-1] if text[-1] in ".,!?;:" else ""
-            stem = text[:-1] if mark else text
+            stem = text.rstrip(_MARKS)
             if not (stem.isascii() and stem.isalpha() or _PLAIN.fullmatch(stem)):
                 other.append((word, text))
                 continue
-            bare = word[:-1] if mark else word
-            ids = known.get(bare)
-            if ids is None:
-                ids = known[bare] = self._unit(stem)
-            if mark:
-                end = known.get(word[-1:])
-                if end is None:
-                    end = known[word[-1:]] = self._unit(mark)
-                known[word] = ids + end
+            ids = self._unit(stem.lower())
+            known[word] = ids if stem == text else ids + self._unit(text[len(stem) :])
         for (word, _), found in zip(other, self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)):
             known[word] = np.array(found.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        parts = [(t or b"").split() for t in texts]
-        words = set().union(*parts)
-        new = words.difference(self.known)
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()).fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, words))
+        new = [place for place, found in enumerate(ids) if found is None]
         if len(self.known) + len(new) > CACHED_WORDS:
-            # Emptied before anything is learnt: all words of these texts are known at once, however many they are.
+            # What these texts need of it is in hand.
             self.known.clear()
-            new = words
-        if new:
-            self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        self._learn([words[place] for place in new])
+        for place in new:
+            ids[place] = self.known[words[place]]
+        joined = pa.array(ids, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(joined.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist()
+        whole = joined.buffers()[2].to_pybytes()
+        return [whole[begin:end] for begin, end in zip(ends, ends[1:])]
 
 
 def token_pieces(

@@ -128,6 +128,50 @@ def test_more_words_at_once_than_are_kept(monkeypatch):
         assert encoder([None if t is None else t.encode() for t in texts]) == want
 
 
+class CountedTokenizer:
+    """The tokenizer, with the units asked of its model and the words given to it whole."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model, self.units, self.whole = tokenizer, self, [], []
+
+    def tokenize(self, unit):
+        self.units.append(unit)
+        return self.tokenizer.model.tokenize(unit)
+
+    def encode_batch_fast(self, words, **options):
+        self.whole += words
+        return self.tokenizer.encode_batch_fast(words, **options)
+
+
+def test_model_is_asked_once_for_a_unit_in_any_case_and_before_any_marks():
+    from tokenizers import Tokenizer
+
+    reference, encoder = Tokenizer.from_file(tokenizer_file()), packing.WordEncoder(tokenizer_file())
+    encoder.tokenizer = counted = CountedTokenizer(reference)
+    texts = ["Kalo kalo KALO, kalo!!", "kalo### Été été. ÉTÉ!! lomi###", "it's x7 lomi, KaLo"]
+    want = [np.array(reference.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [encoder([t.encode()])[0] for t in texts] == want
+    assert len(counted.units) == len(set(counted.units)) == 3 + 4  # kalo, été, lomi; four kinds of marks
+    assert sorted(counted.whole) == ["it's", "x7"]
+
+
+def test_ids_of_odd_words_are_the_tokenizers():
+    import string
+
+    from tokenizers import Tokenizer
+
+    reference, encoder = Tokenizer.from_file(tokenizer_file()), packing.WordEncoder(tokenizer_file())
+    letters = string.ascii_letters + "".join(map(chr, range(0xAA, 0x180)))
+    texts = [f"{a}{b} x{a}y{b}.{b}" for b in string.punctuation + "\u0301\u00a0" for a in letters]
+    texts += [f"a{a} s{a}'s '{a}" for a in string.punctuation]
+    texts += [f"{c}ka{c}{c}lo{c}" for c in map(chr, [*range(33), 0x7F, 0x85, 0xA0, 0x2028, 0x3000])]
+    texts += [None, "", " ", "<|endoftext|>", "ka<|startoftext|>!", "ka <|x|>", "ka</w>", "don'T. I'LL!", "ß ẞ. İ! ſ's"]
+    want = [np.array(reference.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    raw = [None if t is None else t.encode() for t in texts]
+    assert encoder(raw) == want
+    assert [encoder([t])[0] for t in reversed(raw)] == want[::-1] and encoder([]) == []
+
+
 # Mixing
 
 
