@@ -12,7 +12,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from footfall.functions import timing
 from footfall.operators import chains
@@ -57,14 +59,17 @@ def _bounded(rows: DataFrame, batching: Batching, block: int) -> DataFrame:
     # A block also sees as many arrivals of the next one as a batch may take.
     own = F.floor(F.col("place") / block)
     looks = F.when((F.col("place") % block < batching.size) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    ahead = Window.partitionBy("queue", "seen_by").orderBy("ms").rangeBetween(0, batching.wait_ms)
-    return (
-        rows.withColumn("seen_by", F.explode(looks))
-        .withColumn("last", F.max("place").over(ahead))
-        .where(F.col("seen_by") == own)
-        .withColumn("bound", F.least(F.col("place") + batching.size, F.col("last") + 1))
-        .drop("seen_by", "last")
-    )
+
+    # A search for each arrival: a window over the waiting time would add up all that come within it, for each arrival anew.
+    def bounds(group: pa.Table) -> pa.Table:
+        group = group.sort_by("place")
+        place, ms = (group[name].to_numpy() for name in ("place", "ms"))
+        last = place[np.searchsorted(ms, ms + batching.wait_ms, "right") - 1]
+        found = group.append_column("bound", pa.array(np.minimum(place + batching.size, last + 1)))
+        return found.filter(pa.array(place // block == group["seen_by"][0].as_py())).drop_columns("seen_by")
+
+    out = T.StructType([*rows.schema.fields, T.StructField("bound", T.LongType())])
+    return rows.withColumn("seen_by", F.explode(looks)).groupBy("queue", "seen_by").applyInArrow(bounds, out)
 
 
 def batches(arrivals: DataFrame, batching: Batching = Batching(), queue: str | None = None, block: int = BLOCK) -> DataFrame:
@@ -76,7 +81,8 @@ def batches(arrivals: DataFrame, batching: Batching = Batching(), queue: str | N
         raise ValueError("a block must hold a whole batch")
     name = F.coalesce(F.col(queue).cast("string"), F.lit("")) if queue else F.lit("")
     timed = arrivals.select(name.alias("queue"), "event_id", timing.millis(F.col("arrived_at")).alias("ms"))
-    rows = stage(_bounded(placed(timed), batching, block), "batch-places")
+    # Blocks of the look ahead need not be those of the chains; larger ones are fewer calls.
+    rows = stage(_bounded(placed(timed), batching, max(block, BLOCK)), "batch-places")
     found = chains.spans(rows, ["queue"], batching.size, block)
     firsts = found.where(F.col("place") == F.col("begin")).select("queue", "place", "number")
     return firsts.join(rows, ["queue", "place"]).select(

@@ -95,6 +95,17 @@ def test_one_queue_for_all(arrivals):
     assert batching.batches(df.limit(0)).count() == 0
 
 
+def test_the_look_ahead_is_a_search(spark):
+    # A frame over the waiting time costs the arrivals within it, for each arrival.
+    rng = random.Random(2)
+    times = sorted(rng.choice([rng.randrange(4000), rng.randrange(60_000)]) for _ in range(400))
+    df = spark.createDataFrame([("q", i, ms, i) for i, ms in enumerate(times)], "queue string, event_id long, ms long, place long")
+    bounded = batching._bounded(df, Batching(20, 1000), 64)
+    assert "RangeFrame" not in bounded._jdf.queryExecution().toString()
+    found = {r.place: r.bound for r in bounded.collect()}
+    assert found == {i: min(i + 20, sum(t <= ms + 1000 for t in times)) for i, ms in enumerate(times)}
+
+
 # Tenants as a cache sees them
 
 
