@@ -42,10 +42,11 @@ def by_token(tenants: DataFrame) -> DataFrame:
 def resolve(checked: DataFrame, tenants: DataFrame) -> DataFrame:
     """Adds the tenant and the ``status`` that is known before the rate limit (NULL if none)."""
     sound = F.col("violations") == ""
-    keyed = checked.withColumn("_token", F.when(sound, F.lower("token")))
+    # Hosts are read before the join, where a hot token's posts are still spread over all tasks.
+    keyed = checked.withColumn("_token", F.when(sound, F.lower("token"))).withColumn("_host", net.dotted(hosts.browser_host(F.col("url"))))
     joined = lookup(keyed, by_token(tenants), "_token").drop("_token")
     allowed = net.domain_allowed(F.col("_host"), F.col("_endings"))
-    return joined.withColumn("_host", net.dotted(hosts.browser_host(F.col("url")))).withColumn(
+    return joined.withColumn(
         "status",
         F.when(~F.col("readable"), UNREADABLE)
         .when(F.col("violations") != "", MALFORMED)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-LEAST_SALTS = 32
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
@@ -30,16 +29,7 @@ def sized(df: DataFrame) -> DataFrame:
 def lookup(facts: DataFrame, dimension: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join on ``key``, which has few rows in ``dimension`` and any share of the facts.
 
-    A small dimension is broadcast, so the facts are not shuffled. A large one is repeated once
-    per salt and the facts of a key are spread over the salts, so no task gets a hot key whole.
+    A small dimension is broadcast, so the facts are not shuffled. A large one is dealt out by key and sent once; the
+    partition that a hot key fills is cut up by adaptive execution, and only its few dimension rows are read again for each cut.
     """
-    if is_small(dimension):
-        return facts.join(F.broadcast(dimension), key, how)
-    # A salt that follows from the row stays the same when a lost task runs again.
-    # As many salts as shuffle partitions: a hot key can then use the whole cluster.
-    n_salts = max(LEAST_SALTS, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    row_salt = F.pmod(F.xxhash64(*facts.columns), F.lit(n_salts)).cast("int")
-    salted_facts = facts.withColumn("_salt", row_salt)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1)))
-    salted_dimension = dimension.withColumn("_salt", salts)
-    return salted_facts.join(salted_dimension, [key, "_salt"], how).drop("_salt")
+    return facts.join(sized(dimension), key, how)

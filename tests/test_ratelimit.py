@@ -6,6 +6,8 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from footfall.operators import lookup
 from footfall.operators.ratelimit import Limit, admitted_counts, arrival_rate, carry_over, rate_limit
 
@@ -117,6 +119,30 @@ def test_lookup_beyond_the_broadcast_size(spark, monkeypatch):
     assert {tuple(r) for r in anti} == small_anti
 
 
+def test_a_large_dimension_is_sent_once_and_hot_keys_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "is_small", lambda df: False)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        key = F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id")))
+        facts = spark.range(0, 40_000, 1, 8).select("id", key.alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+        dimension = spark.range(0, 30_000, 3).select(F.concat(F.lit("k"), F.col("id")).alias("key"), F.col("id").alias("v"))
+        joined = lookup.lookup(facts, dimension, "key")
+        found = joined.collect()
+        plan = joined._jdf.queryExecution().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert "explode" not in plan.lower()
+    assert "skew=true" in plan
+    assert {(r["id"], r["v"]) for r in found} == {(n, n if n % 3 == 0 and n < 30_000 else None) for n in range(40_000)}
+
+
 def test_is_small_checks_rows_and_bytes(spark):
     df = spark.range(100)
     assert lookup.is_small(df)
