@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 * 1024 * 1024
+#: Of text; the driver holds the rows, their hash table and its serialised blocks, several times that.
+BROADCAST_BYTES = 16 * 1024 * 1024
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
@@ -31,5 +32,6 @@ def lookup(facts: DataFrame, dimension: DataFrame, key: str, how: str = "left")
 
     A small dimension is broadcast, so the facts are not shuffled. A large one is dealt out by key and sent once; the
     partition that a hot key fills is cut up by adaptive execution, and only its few dimension rows are read again for each cut.
+    Spark must not broadcast either side then: it goes by the size of compressed files, and the driver would hold all rows.
     """
-    return facts.join(sized(dimension), key, how)
+    return facts.join(F.broadcast(dimension) if is_small(dimension) else dimension.hint("merge"), key, how)

@@ -143,6 +143,17 @@ def test_a_large_dimension_is_sent_once_and_hot_keys_are_cut(spark, monkeypatch)
     assert {(r["id"], r["v"]) for r in found} == {(n, n if n % 3 == 0 and n < 30_000 else None) for n in range(40_000)}
 
 
+def test_neither_side_of_a_large_join_is_broadcast(spark, monkeypatch):
+    # By the size of its files Spark would broadcast both.
+    monkeypatch.setattr(lookup, "is_small", lambda df: False)
+    facts = spark.range(100).select(F.concat(F.lit("k"), F.col("id") % 7).alias("key"), "id")
+    dimension = spark.range(7).select(F.concat(F.lit("k"), F.col("id")).alias("key"), F.col("id").alias("v"))
+    for how in ("inner", "left"):
+        joined = lookup.lookup(facts, dimension, "key", how)
+        assert {(r["id"], r["v"]) for r in joined.collect()} == {(n, n % 7) for n in range(100)}
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_is_small_checks_rows_and_bytes(spark):
     df = spark.range(100)
     assert lookup.is_small(df)
