@@ -12,6 +12,9 @@ from footfall.operators import live, stats
 from footfall.operators.scope import TenantScope
 from footfall.sources import store
 
+#: The longest span, in hours, at whose multiples subscriptions are cut.
+MOST_HOURS = 24
+
 
 @dataclass(frozen=True)
 class LiveFeed:
@@ -49,6 +52,12 @@ def refresh_realtime(
     numbers.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
 
+def _span_hours(spark: SparkSession, delay: str) -> int:
+    """An eighth of the delay, from an hour to ``MOST_HOURS``."""
+    delayed = F.timestamp_seconds(F.lit(0)) + F.lit(delay).cast("interval")
+    return min(MOST_HOURS, max(1, spark.range(1).select(F.unix_seconds(delayed)).first()[0] // 8 // 3600))
+
+
 def fan_out_stream(
     events: DataFrame, subscriptions: DataFrame, delay: str = "1 hour", salts: int = 8
 ) -> DataFrame:
@@ -56,26 +65,34 @@ def fan_out_stream(
 
     ``events`` is a stream of tenant_id, event_id, time and any other columns, ``subscriptions`` one of subscriber_id, tenant_id,
     joined_at and left_at (not in the room any more). Either may come first, and up to ``delay`` late. Subscriptions are cut at full
-    hours, so rows meet by tenant and hour, and a piece's state goes once its hour is ``delay`` past. The events of a tenant
-    and hour are dealt over ``salts`` parts, each of which holds the pieces of that hour once.
+    spans of some hours, so rows meet by tenant and span, and a piece's state goes once its span is ``delay`` past. The events of a tenant
+    and span are dealt over ``salts`` parts, each of which holds the pieces of that span once.
+
+    Pieces are most of the state, so spans are as long as an eighth of ``delay``, which keeps state little longer and makes fewer
+    pieces. Rows hold nothing twice and meet by one number made of tenant, span and part; the tenants themselves are compared afterwards.
     """
-    hour = lambda at: F.date_trunc("hour", at)
-    timed = events.withColumns({
-        "at": F.col("time").cast("timestamp"), "hour": hour(F.col("time").cast("timestamp")),
-        "part": F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int"),
-    }).withWatermark("at", delay)
+    hours = _span_hours(events.sparkSession, delay)
+    span_s = hours * 3600
+    span = lambda at: F.floor(F.unix_seconds(at) / span_s).cast("long")
+    others = [c for c in events.columns if c != "time"]
+    at = F.col("time").cast("timestamp")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int")
+    timed = events.select(*others, at.alias("at"), F.xxhash64("tenant_id", span(at), part).alias("met_by")).withWatermark("at", delay)
     begin, end = (F.col(name).cast("timestamp") for name in ("joined_at", "left_at"))
-    hours = F.sequence(hour(begin), hour(end), F.expr("interval 1 hour"))
+    last = F.timestamp_micros(F.unix_micros(end) - 1)
     pieces = (
         subscriptions.where(begin < end)
-        .select("subscriber_id", F.col("tenant_id").alias("room_tenant"), begin.alias("begin"), end.alias("end"), F.explode(hours).alias("piece"))
-        .withColumn("from_at", F.greatest("begin", "piece"))
+        .select("subscriber_id", F.col("tenant_id").alias("room_tenant"), begin.alias("begin"), end.alias("end"), F.explode(F.sequence(span(begin), span(last))).alias("piece"))
+        .withColumn("from_at", F.greatest("begin", F.timestamp_seconds(F.col("piece") * span_s)))
         .withColumn("room_part", F.explode(F.array(*map(F.lit, range(salts)))))
+        .select("subscriber_id", "room_tenant", "end", "from_at", F.xxhash64("room_tenant", "piece", "room_part").alias("room_met_by"))
         .withWatermark("from_at", delay)
     )
+    same_tenant = (F.col("tenant_id") >= F.col("room_tenant")) & (F.col("tenant_id") <= F.col("room_tenant"))  # an equality would be a key
     met = (
-        (F.col("tenant_id") == F.col("room_tenant")) & (F.col("hour") == F.col("piece")) & (F.col("part") == F.col("room_part"))
+        (F.col("met_by") == F.col("room_met_by")) & same_tenant
         & (F.col("at") >= F.col("from_at")) & (F.col("at") < F.col("end"))
-        & (F.col("at") < F.col("from_at") + F.expr("interval 1 hour"))  # within the hour; lets Spark clear the state
+        & (F.col("at") < F.col("from_at") + F.expr(f"interval {hours} hours"))  # within the span; lets Spark clear the state
     )
-    return timed.join(pieces, met).select("subscriber_id", *events.columns)
+    stored = [F.col("at").cast(events.schema["time"].dataType).alias("time") if c == "time" else F.col(c) for c in events.columns]
+    return timed.join(pieces, met).select("subscriber_id", *stored)

@@ -294,3 +294,26 @@ def test_rooms_are_joined_and_left(spark, tmp_path):
         rollups.start_append(sent, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
     rows = spark.read.parquet(f"{tmp_path}/out").collect()
     assert sorted((r.subscriber_id, r.event_id) for r in rows) == [("w", 5), ("x", 1), ("x", 2), ("x", 5), ("x", 6), ("y", 2)]
+
+
+def test_a_room_keeps_few_rows(spark, tmp_path):
+    from footfall.streaming import limiter, live, rollups
+
+    events = [[("t", n, _at(n * 3600 + 5)) for n in range(48)] + [(None, 48, _at(7)), ("t", 49, None)]]
+    visits = [[("x", "t", _at(3605), _at(86_400)), ("y", None, _at(0), _at(90_000)), ("z", "t", _at(86_399), _at(86_406))]]
+    sent = live.fan_out_stream(
+        _pieces(spark, tmp_path / "e", events, "tenant_id string, event_id long, time timestamp_ntz"),
+        _pieces(spark, tmp_path / "v", visits, "subscriber_id string, tenant_id string, joined_at timestamp_ntz, left_at timestamp_ntz"),
+        delay="11 days",
+    )
+    with limiter.state_store(spark):
+        query = rollups.start_append(sent, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+        query.awaitTermination()
+    rows = spark.read.schema(sent.schema).parquet(f"{tmp_path}/out").collect()
+    # A visit that ends with the day is in no room of the next one.
+    assert sorted((r.subscriber_id, r.event_id) for r in rows) == [*(("x", n) for n in range(1, 24)), ("z", 24)]
+    assert {r.time for r in rows} == {_at(n * 3600 + 5) for n in range(1, 25)}
+    # Days, not hours, as state is kept for days: one piece of x, two each of y and z, in eight parts.
+    kept = max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
+    assert kept <= 8 * 5 + 50
+    assert (live._span_hours(spark, "1 hour"), live._span_hours(spark, "1 day"), live._span_hours(spark, "10 minutes")) == (1, 3, 1)
