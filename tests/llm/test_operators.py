@@ -689,3 +689,42 @@ def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score_documents(empty.select("text"), toxicity.train(empty, labels, F.lit(True))).count() == 0
     assert urls.filter_urls(spark.createDataFrame([], "url string"), spark.createDataFrame([], "host string, path string, verdict string")).count() == 0
+
+
+def test_known_levels_of_the_filter_are_not_asked_for(monkeypatch):
+    from footfall.llm import lm
+
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(1, 1 << 63, 4000).astype(np.uint64))
+    counts = np.concatenate([rng.integers(1, 4, len(keys) - 500), rng.integers(1000, 900_000, 500)])
+    model = lm.CountFilter([0, 1 << 15], lm.make_filter(keys, counts, 1 << 15).ljust(1 << 15, b"\0"))
+    asked = np.concatenate([keys, rng.integers(1, 1 << 63, 4000).astype(np.uint64)])
+    segment = np.ones(len(asked), np.int64)
+    hashed, halves = [], lm._halves
+    monkeypatch.setattr(lm, "_halves", lambda k, level: hashed.append(len(k)) or halves(k, level))
+    plain = model.level_in(segment, asked)
+    before = sum(hashed)
+    sure = lm.least_levels(np.concatenate([counts, np.zeros(4000, np.int64)]))
+    assert (model.level_in(segment, asked, sure) == plain).all() and (plain >= sure).all()
+    assert sum(hashed) - before < before / 1.5
+    # What a task remembers is what it was told, for those keys that kept their places.
+    remembered = lm.Remembered(256)
+    assert not remembered.least(asked).any()
+    remembered.keep(asked, plain)
+    found = remembered.least(asked)
+    assert ((found == 0) | (found == plain)).all() and np.count_nonzero(found) > 100
+    assert (model.level_in(segment, asked, found) == plain).all()
+
+
+def test_scores_do_not_depend_on_what_is_known_beforehand(spark, monkeypatch):
+    from footfall.llm import lm
+
+    rng = random.Random(8)
+    vocabulary = [f"w{n}" for n in range(60)]
+    rows = [(n if n % 9 else None, " ".join(rng.choices(vocabulary, range(1, 61), k=rng.randint(0, 80)))) for n in range(300)] + [(400, None), (1, "w1 w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    training = F.col("doc_id") % 4 != 1
+    score = lambda: sorted((r.id or -1, r.n_tokens, r.n_known, round(r.score, 6)) for r in lm.score_documents(docs, training).collect())
+    found = score()
+    monkeypatch.setattr(lm, "MOST_FILTER_MB", 0)  # the other way asks for all levels
+    assert found == score()
